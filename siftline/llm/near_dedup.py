@@ -41,7 +41,7 @@ from siftline.llm.components import components
 from siftline.llm.wordhash import mix64, slices, word_hashes
 
 COORDINATES = 64
-MATCHES = 22
+MATCHES = 32
 SHINGLE = 3
 #: Collisions beyond the first that two prefixes must have (each lengthens the prefixes by one).
 OVERLAP = 3
