@@ -15,6 +15,9 @@ DIGIT = frozenset(range(48, 58))
 SPACE = frozenset(b" \t\n\r\f\v")
 ANY = frozenset(range(256))
 NOT_WORD = ANY - WORD
+#: What a rule that begins with ``\\b`` may not follow: word bytes and hyphens, so that no rule begins inside a token.
+TOKEN = WORD | {45}
+NOT_TOKEN = ANY - TOKEN
 _SETS = {"d": DIGIT, "w": WORD, "s": SPACE, "D": ANY - DIGIT, "W": NOT_WORD, "S": ANY - SPACE}
 _CONTROL = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 
@@ -22,7 +25,7 @@ _CONTROL = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is a regular expression of ASCII literals, classes, groups,
-    ``|``, ``* + ? {m,n}`` and ``\\b`` at its ends; bytes are matched as they are."""
+    ``|``, ``* + ? {m,n}`` and ``\\b`` at its ends (at the left it excludes a hyphen before it too); bytes are matched as they are."""
 
     name: str
     pattern: str
@@ -311,7 +314,7 @@ class Scanner:
             state = table[state + classes[data[at]]]
             if state == a.dead:
                 break
-            if state >= a.hit and (not self.left[rule] or at == 0 or data[at - 1] not in WORD):
+            if state >= a.hit and (not self.left[rule] or at == 0 or data[at - 1] not in TOKEN):
                 best = at
         return best
 
@@ -347,7 +350,7 @@ def compile_rules(rules: list[Rule]) -> Scanner:
     ends, backward, left, right = {}, [], [], []
     for k, rule in enumerate(rules):
         begins, tree, closes = parse(rule.pattern)
-        at = nfa.add(("set", NOT_WORD if begins else ANY), start)
+        at = nfa.add(("set", NOT_TOKEN if begins else ANY), start)
         at = nfa.add(tree, at)
         if closes:
             at = nfa.add(("set", NOT_WORD), at)

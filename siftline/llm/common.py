@@ -35,3 +35,11 @@ def hash60(*columns: Column | str) -> Column:
     """A 60-bit hash that DuckDB computes alike: ``('0x' || md5(...)[:15])::BIGINT``."""
     joined = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

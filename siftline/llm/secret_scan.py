@@ -25,13 +25,13 @@ from siftline.llm.automaton import Rule, Scanner, compile_rules
 RULES = [
     Rule("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     Rule("github_token", r"\bgh[pousr]_[0-9A-Za-z]{36}\b"),
-    Rule("slack_token", r"\bxox[abprs]-[0-9A-Za-z\-]{10,60}\b"),
+    Rule("slack_token", r"\bxox[abprs]-[0-9A-Za-z\-]{10,}\b"),
     Rule("google_api_key", r"\bAIza[0-9A-Za-z_\-]{35}\b"),
-    Rule("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}\b"),
+    Rule("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
     Rule("json_web_token", r"\beyJ[0-9A-Za-z_\-]{8,}\.eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\b"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"),
-    Rule("quoted_token", r"\b(?:token|secret|api_key|apikey|access_key|auth) ?[=:] ?\"[0-9A-Za-z_\-]{16,128}\""),
-    Rule("password", r"\b(?:password|passwd|pwd) ?[=:] ?[0-9A-Za-z!@#$%&*_\-]{8,64}\b"),
+    Rule("quoted_token", r"\b(?:token|secret|api_key|apikey|access_key|auth) ?[=:] ?\"[0-9A-Za-z_\-]{16,}\""),
+    Rule("password", r"\b(?:password|passwd|pwd) ?[=:] ?[0-9A-Za-z!@#$%&*_\-]{8,}\b"),
 ]
 
 _SCHEMA = "doc_id long, rule string, start long, stop long, secret string"
@@ -109,13 +109,16 @@ def oracle_sql(rules: list[Rule] | None = None) -> str:
     """DuckDB SQL for ``secrets`` over ``documents``: the texts between the matches give the places."""
     parts = []
     for rule in rules or RULES:
-        p = rule.pattern.replace("'", "''")
+        p, before = rule.pattern.replace("'", "''"), ""
+        if p.startswith("\\b"):
+            before = r"[^0-9A-Za-z_\-]"
+            p = f"(?:^|{before}){p[2:]}"
         parts.append(
-            f"SELECT doc_id, '{rule.name}' AS rule, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits FROM documents"
+            f"SELECT doc_id, '{rule.name}' AS rule, '^{before}' AS edge, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits FROM documents"
         )
     return (
-        "WITH found AS (" + " UNION ALL ".join(parts) + "), each AS (SELECT doc_id, rule, gaps, hits, unnest(range(1, len(hits) + 1)) AS k"
-        " FROM found WHERE len(hits) > 0), placed AS (SELECT doc_id, rule, hits[k] AS secret,"
+        "WITH found AS (" + " UNION ALL ".join(parts) + "), each AS (SELECT doc_id, rule, edge, gaps, hits, unnest(range(1, len(hits) + 1)) AS k"
+        " FROM found WHERE len(hits) > 0), placed AS (SELECT doc_id, rule, hits[k] AS full_hit, regexp_replace(hits[k], edge, '') AS secret,"
         " list_sum(list_transform(gaps[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: strlen(x))), 0) AS start"
-        " FROM each) SELECT doc_id, rule, CAST(start AS BIGINT) AS start, CAST(start + strlen(secret) AS BIGINT) AS stop, secret FROM placed"
+        " FROM each) SELECT doc_id, rule, CAST(start + strlen(full_hit) - strlen(secret) AS BIGINT) AS start, CAST(start + strlen(full_hit) AS BIGINT) AS stop, secret FROM placed"
     )
