@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import fingerprints, mixing, near_dedup, pieces, secret_scan, token_counts
+from siftline.llm import chat, fingerprints, mixing, near_dedup, pieces, pii, secret_scan, token_counts, topk, toxicity
 from siftline.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rejected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -26,6 +38,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -35,15 +51,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_chat_format": op2_chat_format,
     "op3_near_dedup": op3_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_topk_search": op8_topk_search,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_chat_format": chat.oracle_sql(),
     "op5_secret_scan": secret_scan.oracle_sql(),
+    "op8_topk_search": topk.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(),
 }
