@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and pairs that are remembered, at most; then they are forgotten and found again.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _loaded: dict[str, Pieces] = {}

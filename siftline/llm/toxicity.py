@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.wordhash import slices, term_counts, word_hashes
 
-EXAMPLES, HELD, CHI, LEAST, NEAREST, BLOCK = 2000, 4, 25.0, 10, 15, 64
+EXAMPLES, HELD, CHI, LEAST, NEAREST, BLOCK = 1000, 4, 25.0, 10, 15, 64
 PRIOR = 20.0
 THRESHOLD = 0.5
 
