@@ -20,7 +20,7 @@ texts are near-duplicates when at least ``matches`` of the coordinates agree.
    components.  A group of n near copies so costs about n comparisons, not
    n^2, nothing is capped, and the components are those of all matching pairs.
 
-The result is a spanning set of verified pairs and the group of each text.
+The result has each text but the least of its group, with its best partner.
 Cases: null and wordless texts have no signature and no partners; texts of one
 or two words are one shingle; rows with a null id are ignored; repeated rows
 count once, and rows of one id are never each other's partners; other columns
@@ -137,7 +137,7 @@ def near_groups(
     shingle: int = SHINGLE,
     overlap: int = OVERLAP,
 ) -> DataFrame:
-    """``(doc_id, near_id, matches, group_id)``: verified pairs that span each group.
+    """``(doc_id, near_id, matches, group_id)``: a row for each text that is not the least of its group.
 
     ``group_id`` is the least id of the group, ``near_id`` a text of the group
     that agrees with ``doc_id`` in ``matches`` coordinates.  Two texts have the
@@ -179,8 +179,11 @@ def near_groups(
     )
     linked = cut(pairs.unionByName(copies))
     roots = components(linked, "a", "b")
-    return linked.join(roots.withColumnRenamed("node", "b"), "b").select(
-        F.col("b").alias("doc_id"), F.col("a").alias("near_id"), F.col("matches").cast("int").alias("matches"), F.col("root").alias("group_id")
+    # a text may only have partners of larger ids and yet not be its group's least
+    ways = linked.select(F.col("b").alias("node"), F.col("a").alias("near"), "matches").unionByName(linked.select(F.col("a").alias("node"), F.col("b").alias("near"), "matches"))
+    best = ways.groupBy("node").agg(F.min(F.struct((-F.col("matches")).alias("m"), "near")).alias("best"))
+    return best.join(roots, "node").select(
+        F.col("node").alias("doc_id"), F.col("best.near").alias("near_id"), (-F.col("best.m")).cast("int").alias("matches"), F.col("root").alias("group_id")
     )
 
 

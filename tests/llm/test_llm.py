@@ -1,0 +1,212 @@
+import random
+import re
+import sys
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[2]))
+
+from siftline.llm import chat, fingerprints, mixing, near_dedup, pieces, pii, secret_scan, token_counts, topk, toxicity  # noqa: E402
+from siftline.llm.automaton import Rule, compile_rules  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, threshold int, gone int, h int"
+R = random.Random(5)
+LONG = " ".join(R.choice(["lorem", "ipsum", "dolor", "sit"]) + str(R.randint(0, 99)) for _ in range(30_000))
+
+
+def row(i, text, source="s"):
+    return (i, text, "en", source, None if text is None else len(text), "k", 1, 2, 3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows and columns with clashing names."""
+    rows = [row(1, None), row(2, ""), row(3, LONG), row(4, "same words in this text here"), row(5, "same words in this text here"), row(5, "same words in this text here"), row(None, "no id"), row(7, "   ", None)]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+
+
+def operators(spark, docs, labels):
+    return {
+        "pii": pii.redacted(docs), "near": near_dedup.near_groups(docs), "toxic": toxicity.rejected(docs, labels), "secrets": secret_scan.secrets(docs), "tokens": token_counts.token_counts(docs),
+        "pieces": pieces.encoded(docs), "prints": fingerprints.fingerprints(docs), "mix": mixing.mixed(docs), "kept": near_dedup.without_near_copies(docs), "clean": toxicity.without_toxic(docs, labels), "redacted": secret_scan.without_secrets(docs),
+    }
+
+
+def test_odd_rows(spark, odd, labels):
+    got = {k: v.collect() for k, v in operators(spark, odd, labels).items()}
+    assert got["pii"] == got["toxic"] == got["secrets"] == []
+    assert {(r.doc_id, r.group_id) for r in got["near"]} == {(5, 4)}
+    assert len(got["tokens"]) == len(got["pieces"]) == len(got["prints"]) == 8 == len(got["clean"]) == len(got["redacted"])
+    assert {r.doc_id: r.n_tokens for r in got["tokens"]}[1] is None and {r.doc_id: r.n_tokens for r in got["tokens"]}[2] == 0
+    assert {r.doc_id: r.exact for r in got["pieces"]}[3] is True and {r.doc_id: r.pieces for r in got["pieces"]}[1] is None
+    assert sorted(r.doc_id or 0 for r in got["kept"]) == [0, 1, 2, 3, 4, 7]
+    assert got["kept"][0].asDict().keys() == got["mix"][0].asDict().keys() == set(odd.columns)
+    assert {r.doc_id: len(r.signature) for r in got["prints"]}[2] == 0
+
+
+def test_empty_tables(spark, odd, labels):
+    for name, df in operators(spark, odd.limit(0), labels.limit(0)).items():
+        assert df.collect() == [], name
+    assert chat.rendered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+    assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_secret_automaton_is_the_regular_expressions():
+    scanner = compile_rules(secret_scan.RULES)
+    for seed in range(30):
+        r = random.Random(seed)
+        body = lambda n, s="abcXYZ0189": "".join(r.choice(s) for _ in range(n))
+        bits = ["AKIA" + body(16, "ABC019"), "ghp_" + body(36), 'token = "' + body(20) + '"', "password=" + body(r.randint(5, 12)), "AIza" + body(35), "sk_live_" + body(20), "-----BEGIN RSA PRIVATE KEY-----", "é", body(4), "eyJ" + body(9) + ".eyJ" + body(9) + "." + body(9)]
+        text = "".join(r.choice(bits) + r.choice([" ", "", "\n", "-"]) for _ in range(12))
+        want = []
+        for k, rule in enumerate(secret_scan.RULES):
+            p = rule.pattern
+            p = r"(?<![0-9A-Za-z_\-])" + p[2:] if p.startswith(r"\b") else p
+            want += [(k, m.start(), m.end()) for m in re.finditer(p.encode(), text.encode())]
+        assert sorted(scanner.scan(text.encode())) == sorted(want), text
+    small = compile_rules([Rule("a", "ab+c"), Rule("b", "b{2}")])
+    assert small.scan(b"xabbbc") == [(0, 1, 6), (1, 2, 4)]
+
+
+def test_token_chunks_are_the_whole():
+    bpe = token_counts.encoder()
+    texts = [LONG[:30000], "x" * 3000, "a's b'll " * 400, "日本語テキスト。" * 300, "1234567890" * 200, " \n\t " * 500 + "end", "é 9a, " * 600]
+    for t in texts:
+        for chunk, overlap in ((200, 8), (64, 4), (999, 50)):
+            assert bpe.chunked(t, chunk, overlap) == bpe.tokens(t)
+
+
+def test_pieces_are_those_of_the_library():
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.pieces()
+    r = random.Random(3)
+    texts = ["", " ", "  a  b ", "naïve café", "漢字かな", "▁x", "aaaaaaaaaaaaaaaa", LONG[:5000], *("".join(r.choice("aeiothrns .,0é\n漢") for _ in range(120)) for _ in range(200))]
+    for t in texts:
+        assert list(own.encode(t)) == lib.encode(t), t
+        assert own.decode(own.encode(t)) == t.replace("▁", " ")
+
+
+def test_fingerprints_estimate_generalised_jaccard():
+    a, b = "one " * 6 + "two " * 3 + "three four five", "one " * 3 + "two " * 3 + "three four six"
+    _, signs = fingerprints.signatures(pa.array([a, b, a]), samples=3000)
+    assert (signs[0] == signs[2]).all()
+    assert abs((signs[0] == signs[1]).mean() - 8 / 13) < 0.04
+
+
+def test_near_groups_are_those_of_brute_force(spark):
+    r = random.Random(1)
+    base = [" ".join("w" + str(r.randint(0, 400)) for _ in range(60)) for _ in range(12)]
+    rows = []
+    for k, t in enumerate(base * 5):
+        w = t.split()
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = "z" + str(r.randint(0, 999))
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id: x.group_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, signs = near_dedup.signatures(pa.array([t for _, t in rows]), near_dedup.COORDINATES, near_dedup.SHINGLE)
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (signs[i] == signs[j]).sum() >= near_dedup.MATCHES:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == {i: k for i, k in enumerate(root) if i != k}
+
+
+def test_mix_meets_budgets_as_sorting_would(spark):
+    r = random.Random(2)
+    rows = [row(i, "x " * r.randint(0, 9), r.choice("abbbbbbb")) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    import hashlib
+
+    n = lambda t: 0 if not t else t.count(" ") + 1
+    h = lambda i: int(hashlib.md5(f"{i}|mix".encode()).hexdigest()[:15], 16)
+    small, large = ({x.doc_id for x in mixing.mixed(docs, {"a": 0.5, "b": 0.5}, total=t).collect()} for t in (400, 900))
+    want = set()
+    for s in "ab":
+        run = 0
+        for x in sorted((x for x in rows if x[3] == s), key=lambda x: h(x[0])):
+            run += n(x[1])
+            if run <= 200:
+                want.add(x[0])
+    assert small == want and small <= large
+
+
+def test_toxic_search_is_exact():
+    r = random.Random(4)
+    plain, bad = [f"w{k}" for k in range(60)], ["vile", "nasty", "foul", "crude"]
+    rows = [(k, " ".join(r.choices(plain, k=30) + (r.choices(bad, k=3) if k % 2 else [])), k % 2) for k in range(400)]
+    index = toxicity.build([x[0] for x in rows], [x[1] for x in rows], [bool(x[2]) for x in rows])
+    made = {row: (t, w) for row, t, w in index.vectors(pa.array([x[1] for x in rows]))}
+    dense = np.zeros((len(rows), len(index.terms)))
+    for k, (t, w) in made.items():
+        dense[k, t] = w
+    for k in list(made)[:40]:
+        cos = np.round(dense @ dense[k], 9)
+        want = sorted((-cos[j], rows[j][0]) for j in range(len(rows)) if cos[j] > 0)[: toxicity.NEAREST]
+        assert [(round(-c, 7), int(index.ids[e])) for c, e in index.nearest(*made[k])] == [(round(c, 7), i) for c, i in want]
+    model = toxicity.fit_rows(rows)
+    fresh = [" ".join(r.choices(plain, k=30) + (r.choices(bad, k=3) if k % 2 else [])) for k in range(200)]
+    flagged = {k for k, s, _ in model.judge(pa.array(fresh)) if s >= toxicity.THRESHOLD}
+    assert len(flagged ^ set(range(1, 200, 2))) <= 4
+
+
+def test_pii_on_held_out_sentences():
+    model = pii.train()
+    hit = wrong = private = 0
+    for text, span in pii._examples(1500, 123):
+        got = [text[a:b] for a, b, _, _ in model.spans(text)]
+        private += bool(span)
+        hit += bool(span) and span in got
+        wrong += any(g != span for g in got)
+    assert hit >= 0.97 * private and wrong <= 0.01 * 1500
+
+
+def test_topk_is_brute_force(spark):
+    rng = np.random.RandomState(0)
+    x = rng.randn(300, 12).round(1)
+    x[50:60] = x[0]
+    rows = [(i, [float(e) for e in v], 0) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [1.0, None], 0), (1002, [], 0), (1003, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (7, [float(e) for e in x[7]], 0)]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows=64).collect()
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {(i, k + 1, j) for i in range(300) for k, (_, j) in enumerate(sorted((round(far[i, j], 12), j) for j in range(300) if j != i)[:10])}
+    assert len(got) == 3000 and len(want - {(r.vec_id, r.rank, r.near_id) for r in got}) <= 30  # rounding of equal distances
+    assert {(r.vec_id, r.rank, r.near_id) for r in got if r.vec_id in range(51, 60)} >= {(55, 1, 0), (51, 2, 50)}
+
+
+def test_templates():
+    run = lambda t, **v: chat.compile_template(t)(v)[0]
+    assert run("{% for x in xs -%} {{ loop.index }}{{ x|upper }}{% else %}none{% endfor %}", xs=["a", "b"]) == "1A2B"
+    assert run("{% for x in xs %}{% else %}none{% endfor %}", xs=[]) == "none"
+    assert run("{% if a.b == 'x' and not c %}1{% elif c %}2{% else %}3{% endif %}", a={"b": "x"}, c=0) == "1"
+    assert run("{% set y = 1 + 2 * 3 %}{{ y ~ '!' }}{{ z is defined }}") == "7!False"
+    assert chat.parse("{% if 1 > 2 %}a{% else %}{{ 'b' + 'c' }}{% endif %}") == [("put", ("const", "bc"))]
+    assert run("{{ x.items }}{{ x['y'] }}", x={"y": 1}) == "1"
+    for bad in ("{{ x.__class__ }}", "{% if a %}", "{{ f( }}", "{{ a|eval }}", "{% import os %}", "{{ }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    text, marks = chat.compile_template(chat.CHATML)({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]})
+    assert [text[a:b] for a, b in marks] == ["yo<|im_end|>"]
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    text = lambda: " ".join("w" + str(r.randint(0, 999)) for _ in range(80))
+    rows = [row(i, text()) for i in range(60)]
+    rows += [row(100, rows[0][1]), row(101, text() + ' token = "0123456789abcdef0123"')] + [row(200 + i, text() + " vile nasty foul") for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 200)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(60), 101} and all(x.exact for x in got.values())
+    assert "[SECRET:quoted_token]" in pieces.pieces().decode(got[101].pieces)
