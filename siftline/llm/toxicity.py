@@ -2,23 +2,24 @@
 
 Fitting takes at most ``EXAMPLES`` labelled documents of each class (those of
 the least id hashes; every ``HELD``-th is held out for calibration).  Terms are
-the words of at least ``LEAST`` examples whose presence differs between the
-classes (corrected chi-square of at least ``CHI`` over the sample); a weight is ``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)``.
-Examples without such a term have no direction and are left out.
-
-Search is exact.  Examples are ordered so that like ones are neighbours and cut
-into blocks; the index has each block's postings and each term's greatest
-weight in it.  Blocks are read in order of their upper bounds, until the bound
-falls below the k-th best cosine.  The ``NEAREST`` vote with ``1 / (1.05 - cosine)``
+all words of the examples; none is left out for being rare.  A weight is
+``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)`` times how far the word tells the
+classes apart: the size of the difference of its log frequencies in them
+(smoothed by ``SMOOTH``), ``EVEN`` at least.  Words of small languages, which
+few examples can hold, so count as much as their examples are one-sided.
+
+Search is exact.  The index has each term's postings; the postings of all words
+of a text are added up, and the ``NEAREST`` by cosine vote with ``1 / (1.05 - cosine)``
 (ties by the lesser id) against a weight of ``PRIOR`` for clean, so that a few
 faint likenesses prove nothing; a logistic curve fitted on the held-out documents makes
 the share of toxic votes a probability.
 
-The model's size is fixed by the bounds, so sending it to executors is safe;
-texts are only read in place, nothing is shuffled.
+The model has the distinct words of at most ``2 * EXAMPLES`` texts, whatever the
+size of the table, so sending it to executors is safe; texts are only read in
+place, nothing is shuffled.
 
-Cases: null, empty and wordless texts and texts without a term have score 0
-and are kept; texts of any length are used whole; rows with a null id are
+Cases: null, empty and wordless texts and texts without a word of
+any example have score 0 and are kept; texts of any length are used whole; rows with a null id are
 judged by their text too; repeated rows are judged each; of an id's labels the
 most toxic counts; null labels are ignored; no toxic labels reject nothing;
 other columns stay as they are; an empty table gives no rows.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm.wordhash import slices, term_counts, word_hashes
 
-EXAMPLES, HELD, CHI, LEAST, NEAREST, BLOCK = 1000, 4, 25.0, 10, 15, 64
+EXAMPLES, HELD, NEAREST = 1000, 4, 15
+SMOOTH, EVEN = 0.5, 0.1
 PRIOR = 20.0
 THRESHOLD = 0.5
 
@@ -44,10 +46,10 @@ THRESHOLD = 0.5
 @dataclass(frozen=True)
 class Index:
     terms: np.ndarray  # sorted word hashes
-    idf: np.ndarray
-    bounds: np.ndarray  # term x block
-    place: np.ndarray  # block x term: the row in the block's postings, 0 for none
-    postings: list[np.ndarray]  # each row x example
+    factor: np.ndarray  # of each term's weight
+    starts: np.ndarray  # term k has the postings from starts[k] to starts[k + 1]
+    rows: np.ndarray  # of each posting the example
+    values: np.ndarray  # and its weight there
     ids: np.ndarray
     toxic: np.ndarray
 
@@ -61,7 +63,7 @@ class Index:
         row, at, count = row[hit], at[hit], count[hit]
         if not len(row):
             return
-        weight = (1.0 + np.log(count)) * self.idf[at]
+        weight = (1.0 + np.log(count)) * self.factor[at]
         starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         norm = np.sqrt(np.add.reduceat(weight * weight, starts))
         for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(row)))):
@@ -69,19 +71,15 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
         """``(cosine, example)`` of the ``k`` best positive cosines, ties by the lesser id."""
-        upper = weights @ self.bounds[terms]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or (len(best) == k and upper[b] < -best[-1][0] - 1e-9):
-                break
-            scores = weights @ self.postings[b][self.place[b][terms]]
-            floor = -best[-1][0] - 1e-9 if len(best) == k else 0.0
-            for j in np.flatnonzero((scores > 0) & (scores >= floor)):
-                e = int(b) * BLOCK + int(j)
-                if e != without:
-                    best.append((-round(float(scores[j]), 9), int(self.ids[e]), e))
-            best = sorted(best)[:k]
-        return [(-s, e) for s, _, e in best]
+        n, size = len(self.ids), self.starts[terms + 1] - self.starts[terms]
+        at = np.arange(size.sum()) + np.repeat(self.starts[terms] - (np.cumsum(size) - size), size)
+        scores = np.bincount(self.rows[at], weights=self.values[at] * np.repeat(weights, size), minlength=n).round(9)
+        if without >= 0:
+            scores[without] = 0.0
+        floor = np.partition(scores, n - k)[n - k] if n > k else 0.0
+        near = np.flatnonzero((scores > 0) & (scores >= floor))
+        near = near[np.lexsort((self.ids[near], -scores[near]))[:k]]
+        return list(zip(scores[near], near.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = PRIOR + sum(1.0 / (1.05 - s) for s, _ in near)
@@ -107,39 +105,23 @@ class Model:
 
 def build(ids: list[int], texts: list[str], toxic: list[bool]) -> Index:
     n, flags = len(ids), np.array(toxic, dtype=bool)
-    row, word, count = term_counts(*word_hashes(pa.array(texts, pa.string())))
+    column = pa.array(texts, pa.string())
+    # by slices, for the memory that hashing takes
+    parts = [(start, *term_counts(*word_hashes(column.slice(start, stop - start)))) for start, stop in slices(column)]
+    row = np.concatenate([start + r for start, r, _, _ in parts] or [np.zeros(0, dtype=np.int64)])
+    word = np.concatenate([w for _, _, w, _ in parts] or [np.zeros(0, dtype=np.uint64)])
+    count = np.concatenate([c for _, _, _, c in parts] or [np.zeros(0, dtype=np.int64)])
     words, at = np.unique(word, return_inverse=True)
     bad = np.bincount(at, weights=flags[row], minlength=len(words)) if n else np.zeros(0)
     df = np.bincount(at, minlength=len(words)).astype(float)
     positive = float(flags.sum())
-    expected = df * positive / max(n, 1)
-    spread = expected * (1 - positive / max(n, 1)) * (1 - df / max(n, 1))
-    keep = (df >= LEAST) & (np.maximum(np.abs(bad - expected) - 0.5, 0) ** 2 >= CHI * np.maximum(spread, 1e-12))
-    number = np.cumsum(keep) - 1
-    terms, idf = words[keep], np.log((n + 1) / (df[keep] + 1)) + 1.0
-    hit = keep[at]
-    row, at, count = row[hit], number[at[hit]], count[hit]
-    weight = (1.0 + np.log(count)) * idf[at]
+    apart = np.log((bad + SMOOTH) / (positive + 1)) - np.log((df - bad + SMOOTH) / (n - positive + 1))
+    factor = (np.log((n + 1) / (df + 1)) + 1.0) * np.maximum(np.abs(apart), EVEN)
+    weight = (1.0 + np.log(count)) * factor[at]
     norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
-    # like examples next to each other: by their heaviest term, then by the rest
-    heavy: dict[int, list[tuple[float, int]]] = {}
-    for r, t, w in zip(row.tolist(), at.tolist(), weight.tolist()):
-        heavy.setdefault(r, []).append((-w, t))
-    order = sorted(heavy, key=lambda r: ([t for _, t in sorted(heavy[r])], ids[r]))
-    slot = np.full(n, -1)
-    slot[order] = np.arange(len(order))
-    blocks = -(-len(order) // BLOCK)
-    bounds, place, postings = np.zeros((len(terms), blocks)), np.zeros((blocks, len(terms)), dtype=np.int32), []
-    block = slot[row] // BLOCK
-    for b in range(blocks):
-        mine = block == b
-        own, rows = np.unique(at[mine], return_inverse=True)
-        dense = np.zeros((len(own) + 1, BLOCK))
-        dense[rows + 1, slot[row[mine]] % BLOCK] = weight[mine] / norm[row[mine]]
-        place[b][own] = np.arange(1, len(own) + 1)
-        bounds[own, b] = dense[1:].max(axis=1)
-        postings.append(dense)
-    return Index(terms, idf, bounds, place, postings, np.array(ids, dtype=np.int64)[order], flags[order])
+    order = np.argsort(at, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(df))).astype(np.int64)
+    return Index(words, factor, starts, row[order].astype(np.int32), (weight / norm[row])[order], np.array(ids, dtype=np.int64), flags)
 
 
 def _logistic(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -166,8 +148,10 @@ def fit_rows(rows: list[tuple[int, str, int]]) -> Model:
         return Model(index, 0.0, -20.0)
     check = held or train
     votes = np.zeros(len(check))
-    for row, terms, weights in index.vectors(pa.array([r[1] for r in check], pa.string())):
-        votes[row] = index.vote(index.nearest(terms, weights))
+    texts = pa.array([r[1] for r in check], pa.string())
+    for start, stop in slices(texts):
+        for row, terms, weights in index.vectors(texts.slice(start, stop - start)):
+            votes[start + row] = index.vote(index.nearest(terms, weights))
     return Model(index, *_logistic(votes, np.array([bool(r[2]) for r in check])))
 
 

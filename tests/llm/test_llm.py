@@ -160,6 +160,18 @@ def test_toxic_search_is_exact():
     assert len(flagged ^ set(range(1, 200, 2))) <= 4
 
 
+def test_toxic_words_of_a_small_language():
+    r = random.Random(8)
+    plain, bad = [f"w{k}" for k in range(60)], ["vile", "nasty", "foul", "crude"]
+    other, worse = [f"o{k}" for k in range(60)], [f"malo{k}" for k in range(20)]
+    few = lambda flag: " ".join(r.choices(other, k=30) + (r.choices(worse, k=3) if flag else []))
+    rows = [(k, " ".join(r.choices(plain, k=30) + (r.choices(bad, k=3) if k % 2 else [])), k % 2) for k in range(400)]
+    rows += [(1000 + k, few(k % 2), k % 2) for k in range(80)]
+    model = toxicity.fit_rows(rows)
+    flagged = {k for k, s, _ in model.judge(pa.array([few(k % 2) for k in range(100)])) if s >= toxicity.THRESHOLD}
+    assert len(flagged & set(range(1, 100, 2))) >= 45 and len(flagged & set(range(0, 100, 2))) <= 2
+
+
 def test_pii_on_held_out_sentences():
     model = pii.train()
     hit = wrong = private = 0
