@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.wordhash import slices, term_counts, word_hashes
 
-EXAMPLES, HELD, NEAREST = 1000, 4, 15
+EXAMPLES, HELD, NEAREST = 2000, 4, 15
 SMOOTH, EVEN = 0.5, 0.1
 PRIOR = 20.0
 THRESHOLD = 0.5

@@ -172,6 +172,12 @@ def test_toxic_words_of_a_small_language():
     assert len(flagged & set(range(1, 100, 2))) >= 45 and len(flagged & set(range(0, 100, 2))) <= 2
 
 
+def test_toxic_examples_of_each_class(spark):
+    docs = spark.range(4400).selectExpr("id as doc_id", "concat('word', id % 7, ' text') as text")
+    index = toxicity.fit(docs, docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 2 as int) as toxic")).index
+    assert int(index.toxic.sum()) == int((~index.toxic).sum()) == 1500
+
+
 def test_pii_on_held_out_sentences():
     model = pii.train()
     hit = wrong = private = 0
