@@ -15,7 +15,7 @@ DIGIT = frozenset(range(48, 58))
 SPACE = frozenset(b" \t\n\r\f\v")
 ANY = frozenset(range(256))
 NOT_WORD = ANY - WORD
-#: What a rule that begins with ``\\b`` may not follow: word bytes and hyphens, so that no rule begins inside a token.
+#: What a rule that begins with ``\\b`` may not follow without ``after_hyphen``: word bytes and hyphens, so that no rule begins inside a token.
 TOKEN = WORD | {45}
 NOT_TOKEN = ANY - TOKEN
 _SETS = {"d": DIGIT, "w": WORD, "s": SPACE, "D": ANY - DIGIT, "W": NOT_WORD, "S": ANY - SPACE}
@@ -25,7 +25,7 @@ _CONTROL = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is a regular expression of ASCII literals, classes, groups,
-    ``|``, ``* + ? {m,n}`` and ``\\b`` at its ends (at the left it excludes a hyphen before it too); bytes are matched as they are."""
+    ``|``, ``* + ? {m,n}`` and ``\\b`` at its ends (at the left it excludes a hyphen before it too, unless compiled with ``after_hyphen``); bytes are matched as they are."""
 
     name: str
     pattern: str
@@ -291,6 +291,7 @@ class Scanner:
     backward: tuple[Automaton, ...]
     right: tuple[bool, ...]
     left: tuple[bool, ...]
+    whole: tuple[Automaton | None, ...]  # of rules that are found by their heads
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
         """All ``(rule, end)`` in one pass over the bytes."""
@@ -301,7 +302,7 @@ class Scanner:
             state = table[state + c]
             if state >= hit:
                 for rule in a.accepts[state // a.width]:
-                    end = at - 1 if self.right[rule] else at
+                    end = at - 1 if self.right[rule] and self.whole[rule] is None else at
                     if end <= len(data):
                         found.append((rule, end))
         return found
@@ -318,6 +319,38 @@ class Scanner:
                 best = at
         return best
 
+    def _heads(self, rule: int, data: bytes, end: int) -> list[int]:
+        """All starts of words from which the head of ``rule`` reaches ``end``."""
+        a, at, out = self.backward[rule], end, []
+        state = a.start
+        while True:
+            if state >= a.hit and (at == 0 or data[at - 1] not in WORD):
+                out.append(at)
+            if at == 0 or state == a.dead:
+                return out
+            at -= 1
+            state = a.table[state + a.classes[data[at]]]
+
+    def _stop(self, rule: int, data: bytes, start: int) -> int:
+        """The greatest end of a match of ``rule`` that begins at ``start``; -1 for none."""
+        a, best = self.whole[rule], -1
+        state = a.start
+        for at in range(start, len(data)):
+            state = a.table[state + a.classes[data[at]]]
+            if state == a.dead:
+                break
+            if state >= a.hit and (not self.right[rule] or (data[at] in WORD) != (data[at + 1 : at + 2] != b"" and data[at + 1] in WORD)):
+                best = at + 1
+        return best
+
+    def _extended(self, rule: int, data: bytes, ends: set[int]) -> list[tuple[int, int, int]]:
+        out, floor = [], 0
+        for s in sorted({s for e in ends for s in self._heads(rule, data, e)}):
+            if s >= floor and (e := self._stop(rule, data, s)) > s:
+                out.append((rule, s, e))
+                floor = e
+        return out
+
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """``(rule, start, end)``: for each rule its leftmost-longest matches that don't overlap."""
         import heapq
@@ -330,6 +363,9 @@ class Scanner:
         for rule, end in found:
             by_rule[rule].add(end)
         for rule, ends in sorted(by_rule.items()):
+            if self.whole[rule] is not None:
+                out += self._extended(rule, data, ends)
+                continue
             floor = 0
             heap = [(s, -e) for e in ends if (s := self._start(rule, data, e, 0)) >= 0]
             heapq.heapify(heap)
@@ -343,16 +379,43 @@ class Scanner:
         return out
 
 
-def compile_rules(rules: list[Rule]) -> Scanner:
+def _head(tree: tuple) -> tuple:
+    """What every match of ``tree`` begins with, up to its first repeat of more than one."""
+    if tree[0] == "rep" and tree[3] != 1:
+        return _head(tree[1]) if tree[2] else ("cat", [])
+    if tree[0] != "cat":
+        return tree
+    parts = []
+    for part in tree[1]:
+        parts.append(_head(part))
+        if part[0] == "rep" and part[3] != 1:
+            break
+    return ("cat", parts)
+
+
+def compile_rules(rules: list[Rule], after_hyphen: bool = False) -> Scanner:
+    """With ``after_hyphen``, ``\\b`` is the plain word boundary at both ends.
+
+    A token that may hold hyphens can then begin again inside itself, which
+    subset construction can't bear; so of a rule with ``\\b`` at its left only
+    the head is in the common automaton, and an automaton of its own, which
+    begins at the head, finds the end.
+    """
     nfa = _Nfa()
     start = nfa.state()
     nfa.moves[start].append((ANY, start))
-    ends, backward, left, right = {}, [], [], []
+    ends, backward, left, right, whole = {}, [], [], [], []
     for k, rule in enumerate(rules):
         begins, tree, closes = parse(rule.pattern)
-        at = nfa.add(("set", NOT_TOKEN if begins else ANY), start)
+        own = None
+        if after_hyphen and begins:
+            one = _Nfa()
+            first = one.state()
+            own = _deterministic(one, first, {one.add(tree, first): k})
+            tree = _head(tree)
+        at = nfa.add(("set", (NOT_TOKEN if own is None else NOT_WORD) if begins else ANY), start)
         at = nfa.add(tree, at)
-        if closes:
+        if closes and own is None:
             at = nfa.add(("set", NOT_WORD), at)
         ends[at] = k
         back = _Nfa()
@@ -360,5 +423,6 @@ def compile_rules(rules: list[Rule]) -> Scanner:
         backward.append(_deterministic(back, first, {back.add(_reversed(tree), first): k}))
         left.append(begins)
         right.append(closes)
+        whole.append(own)
     # a rule that may end anywhere has its end just after the byte that is read
-    return Scanner(tuple(rules), _deterministic(nfa, start, ends), tuple(backward), tuple(right), tuple(left))
+    return Scanner(tuple(rules), _deterministic(nfa, start, ends), tuple(backward), tuple(right), tuple(left), tuple(whole))

@@ -2,7 +2,9 @@
 
 All rules are compiled on the driver into a single minimised transition array
 (a few hundred states, independent of the data) and each executor reads every
-text once, byte by byte, for all rules together.
+text once, byte by byte, for all rules together; a rule that begins a word is
+found by its head there and read on from it by an array of its own.  Words begin
+after hyphens too ("--password=..."); the DuckDB SQL leaves those out.
 
 Cases: null and empty texts have no secrets; texts of any length are scanned
 whole; rows with a null id are scanned too and reported with a null id;
@@ -39,7 +41,7 @@ _SCHEMA = "doc_id long, rule string, start long, stop long, secret string"
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``(doc_id, rule, start, stop, secret)``; ``start`` and ``stop`` count bytes."""
-    scanner = compile_rules(rules or RULES)
+    scanner = compile_rules(rules or RULES, after_hyphen=True)
     names = [r.name for r in scanner.rules]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,7 @@ def without_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n
 
     All rows and columns stay in their order; null texts stay null.
     """
-    scanner = compile_rules(rules or RULES)
+    scanner = compile_rules(rules or RULES, after_hyphen=True)
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
     chars = names.index(chars_col) if chars_col in names and isinstance(schema[chars_col].dataType, T.IntegralType) else -1

@@ -76,6 +76,23 @@ def test_secret_automaton_is_the_regular_expressions():
     assert small.scan(b"xabbbc") == [(0, 1, 6), (1, 2, 4)]
 
 
+def test_secrets_after_hyphens():
+    scanner = compile_rules(secret_scan.RULES, after_hyphen=True)
+    for seed in range(60):
+        r = random.Random(seed)
+        body = lambda n, s="abcXYZ0189": "".join(r.choice(s) for _ in range(n))
+        bits = ["AKIA" + body(16, "ABC019"), "-ghp_" + body(36), 'token="' + body(20) + '"', "--password=" + body(r.randint(5, 12)), "AIza" + body(35, "a0-_"), "AIza-AIza", "sk_live_" + body(20), "xoxb-" + body(12, "a0-"), "-----BEGIN PRIVATE KEY-----", "é", body(4), "eyJ" + body(9) + ".eyJ" + body(9, "a-0") + "." + body(9)]
+        text = "".join(r.choice(bits) + r.choice([" ", "", "\n", "-", "!"]) for _ in range(12))
+        want = [(k, m.start(), m.end()) for k, rule in enumerate(secret_scan.RULES) for m in re.finditer(rule.pattern.encode(), text.encode())]
+        assert sorted(scanner.scan(text.encode())) == sorted(want), text
+
+
+def test_secret_operators_see_secrets_after_hyphens(spark):
+    docs = spark.createDataFrame([(1, "run --password=abcd1234 now"), (2, "key-AKIA" + "A" * 16)], "doc_id long, text string")
+    assert {(r.doc_id, r.rule, r.start) for r in secret_scan.secrets(docs).collect()} == {(1, "password", 6), (2, "aws_access_key", 4)}
+    assert {r.text for r in secret_scan.without_secrets(docs).collect()} == {"run --[SECRET:password] now", "key-[SECRET:aws_access_key]"}
+
+
 def test_token_chunks_are_the_whole():
     bpe = token_counts.encoder()
     texts = [LONG[:30000], "x" * 3000, "a's b'll " * 400, "日本語テキスト。" * 300, "1234567890" * 200, " \n\t " * 500 + "end", "é 9a, " * 600]
