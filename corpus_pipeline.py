@@ -3,10 +3,12 @@ sources are mixed to their target weights, and what is left is encoded."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import mixing, near_dedup, pieces, secret_scan, toxicity
-from siftline.llm.common import table
+from siftline.llm.common import shared_dir, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Each stage's result is written as Parquet under the checkpoint folder and read again as the next one's documents."""
+    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}.parquet")
+        docs = table(spark, place, name)
     return docs

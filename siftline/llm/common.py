@@ -12,17 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (tests, a laptop) is a temporary one made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share; only
+    where none is set (tests, a laptop) is a temporary one made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftline-checkpoint-")
         )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -245,3 +245,15 @@ def test_pipeline(spark, tmp_path):
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {*range(60), 101} and all(x.exact for x in got.values())
     assert "[SECRET:quoted_token]" in pieces.pieces().decode(got[101].pieces)
+
+
+def test_pipeline_rereads_each_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+    keep = lambda s, d, _: (read.append(d.inputFiles()), d)[1]
+    spark.createDataFrame([row(1, "a"), row(2, "b")], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", keep), ("second", keep)])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert all("/first.parquet/" in f for f in read[1]) and all("/second.parquet/" in f for f in got.inputFiles())
+    assert {tuple(r) for r in got.collect()} == {row(1, "a"), row(2, "b")}
