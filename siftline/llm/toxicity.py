@@ -3,7 +3,8 @@
 Fitting takes at most ``EXAMPLES`` labelled documents of each class (those of
 the least id hashes; every ``HELD``-th is held out for calibration).  Terms are
 all words of the examples; none is left out for being rare.  A weight is
-``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)`` times how far the word tells the
+``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)``, with ``N`` and ``df`` counted over
+all documents, times how far the word tells the
 classes apart: the size of the difference of its log frequencies in them
 (smoothed by ``SMOOTH``), ``EVEN`` at least.  Words of small languages, which
 few examples can hold, so count as much as their examples are one-sided.
@@ -16,7 +17,7 @@ the share of toxic votes a probability.
 
 The model has the distinct words of at most ``2 * EXAMPLES`` texts, whatever the
 size of the table, so sending it to executors is safe; texts are only read in
-place, nothing is shuffled.
+place, and only the words' document frequencies are shuffled.
 
 Cases: null, empty and wordless texts and texts without a word of
 any example have score 0 and are kept; texts of any length are used whole; rows with a null id are
@@ -27,7 +28,7 @@ other columns stay as they are; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,7 +104,12 @@ class Model:
                     yield start + row, self.score(self.index.vote(near)), near
 
 
-def build(ids: list[int], texts: list[str], toxic: list[bool]) -> Index:
+#: Of sorted word hashes, the number of documents and of those with each word.
+Frequencies = Callable[[np.ndarray], tuple[int, np.ndarray]]
+
+
+def build(ids: list[int], texts: list[str], toxic: list[bool], frequencies: Frequencies | None = None) -> Index:
+    """Without ``frequencies`` the examples are all documents."""
     n, flags = len(ids), np.array(toxic, dtype=bool)
     column = pa.array(texts, pa.string())
     # by slices, for the memory that hashing takes
@@ -116,7 +122,8 @@ def build(ids: list[int], texts: list[str], toxic: list[bool]) -> Index:
     df = np.bincount(at, minlength=len(words)).astype(float)
     positive = float(flags.sum())
     apart = np.log((bad + SMOOTH) / (positive + 1)) - np.log((df - bad + SMOOTH) / (n - positive + 1))
-    factor = (np.log((n + 1) / (df + 1)) + 1.0) * np.maximum(np.abs(apart), EVEN)
+    total, documents = frequencies(words) if frequencies and len(words) else (n, df)
+    factor = (np.log((total + 1) / (documents + 1)) + 1.0) * np.maximum(np.abs(apart), EVEN)
     weight = (1.0 + np.log(count)) * factor[at]
     norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
     order = np.argsort(at, kind="stable")
@@ -136,14 +143,14 @@ def _logistic(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_rows(rows: list[tuple[int, str, int]]) -> Model:
+def fit_rows(rows: list[tuple[int, str, int]], frequencies: Frequencies | None = None) -> Model:
     """The model of ``(id, text, toxic)`` rows; every ``HELD``-th of a class calibrates it."""
     train, held = [], []
     for flag in (0, 1):
         own = [r for r in rows if bool(r[2]) == bool(flag)]
         for k, r in enumerate(own):
             (held if k % HELD == HELD - 1 else train).append(r)
-    index = build([r[0] for r in train], [r[1] for r in train], [bool(r[2]) for r in train])
+    index = build([r[0] for r in train], [r[1] for r in train], [bool(r[2]) for r in train], frequencies)
     if not any(r[2] for r in train):
         return Model(index, 0.0, -20.0)
     check = held or train
@@ -155,6 +162,29 @@ def fit_rows(rows: list[tuple[int, str, int]]) -> Model:
     return Model(index, *_logistic(votes, np.array([bool(r[2]) for r in check])))
 
 
+def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of ``texts`` and of those with each of ``words``, in one aggregation."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        df, rows = np.zeros(len(known), dtype=np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for start, stop in slices(batch.column(0)):
+                _, word, _ = term_counts(*word_hashes(batch.column(0).slice(start, stop - start)))
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                df += np.bincount(at[known[at] == word], minlength=len(known))
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(df[found], rows), pa.int64())], ["term", "n"])
+
+    got = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(len(words))
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     own = own.withColumn("h", F.xxhash64("doc_id"))
@@ -165,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
     rows = [(r.doc_id, r.text, r.toxic) for r in sorted(found.collect(), key=lambda r: (r.h, r.doc_id))]
-    return fit_rows(rows)
+    return fit_rows(rows, lambda words: document_frequencies(texts.select("text"), words))
 
 
 def rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 from siftline.llm import chat, fingerprints, mixing, near_dedup, pieces, pii, secret_scan, token_counts, topk, toxicity  # noqa: E402
 from siftline.llm.automaton import Rule, compile_rules  # noqa: E402
+from siftline.llm.wordhash import hash_word  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, threshold int, gone int, h int"
 R = random.Random(5)
@@ -195,6 +196,15 @@ def test_toxic_examples_of_each_class(spark):
     assert int(index.toxic.sum()) == int((~index.toxic).sum()) == 1500
 
 
+def test_toxic_weights_follow_all_documents(spark):
+    rows = [(k, "often seldom " + ("vile" if k % 2 else "kind")) for k in range(40)] + [(k, "often") for k in range(100, 400)] + [(400, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels).index
+    often, seldom = (index.factor[np.searchsorted(index.terms, np.uint64(hash_word(w)))] for w in ("often", "seldom"))
+    assert abs(seldom / often - (np.log(341 / 41) + 1) / (np.log(341 / 341) + 1)) < 1e-9
+
+
 def test_pii_on_held_out_sentences():
     model = pii.train()
     hit = wrong = private = 0
