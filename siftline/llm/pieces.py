@@ -11,9 +11,14 @@ A bit field marks the places from which no segmentation exists, so each is
 given up once.
 
 No piece holds a space mark after another character (checked on loading), so
-texts fall apart before each run of spaces that follows another character, and
-what was found for a part is kept for the next time.  Characters without a
-piece become their bytes' pieces and part what is around them.
+texts fall apart before each run of spaces that follows another character.
+Characters without a piece become their bytes' pieces and part what is around
+them.
+
+A slice of texts is parted with Arrow, each distinct part is encoded once, all
+of them in lockstep by numpy (``lockstep``; parts longer than ``LONG``
+characters one by one, by the same steps), and the texts' pieces are gathered.
+Decoding gathers the bytes of the pieces.
 
 Cases: a null text has null pieces and a null check; an empty text has none;
 texts of any length are encoded whole; repeated rows have a row each; a null
@@ -26,34 +31,28 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.lockstep import Lockstep
+from siftline.llm.wordhash import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts and pairs that are remembered, at most; then they are forgotten and found again.
+#: Pairs that the one-by-one way remembers, at most; then they are forgotten and found again.
 REMEMBERED = 100_000
+#: Characters of the longest part that is encoded in lockstep with others.
+LONG = 96
+#: Bytes of text in a slice; the larger, the more parts are met again.
+SLICE = 8 << 20
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _loaded: dict[str, Pieces] = {}
 
 
-class _Parts(dict):
-    """The pieces of each part that was met."""
-
-    def __init__(self, find) -> None:
-        self.find = find
-
-    def __missing__(self, part: str) -> array:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = array("i", self.find(part))
-        if len(part) <= 64:
-            self[part] = got
-        return got
-
-
 class Pieces:
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -88,7 +87,11 @@ class Pieces:
             self.found.add_word(p, p)
         self.found.make_automaton()
         self.fit: dict[tuple[str, str], bool] = {}
-        self.parts = _Parts(self._part)
+        self.own = np.array(list(self.id.values()), dtype=np.int32)
+        self.lockstep = Lockstep(list(self.id), [self.score[p] for p in self.id])
+        self.raw = pa.array(self.text, pa.large_binary())
+        self.lens = np.array([len(t) for t in self.text], dtype=np.int64)
+        self.byte = np.array([self.bytes.get(b, -1) for b in range(256)], dtype=np.int32)
 
     def merged(self, text: str) -> list[str]:
         """The rules as they are defined: join the best pair, the leftmost of equals, until none is left."""
@@ -155,10 +158,86 @@ class Pieces:
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-            known, more = self.parts, out.extend
-            for part in _PARTS.findall(marked):
-                more(known[part])
+            for part in _PARTS.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)):
+                out.extend(self._part(part))
+        return out
+
+    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(flat, starts, counts)``: the ids of each part, which hold plain spaces for marks."""
+        sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        short, long = np.flatnonzero(sizes <= LONG), np.flatnonzero(sizes > LONG)
+        starts, counts = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
+        flat = np.zeros(0, dtype=np.int32)
+        if len(short):
+            data = "".join(parts.take(pa.array(short)).to_pylist()).replace(" ", SPACE)
+            codes = np.frombuffer(data.encode("utf-32-le"), dtype=np.uint32)
+            begins = np.cumsum(sizes[short]) - sizes[short]
+            found = self.lockstep.tokens(codes, begins)
+            lone = (self.lockstep.classes[codes] == 0).astype(np.int64)
+            if self.bytes:
+                lone *= 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+            each = np.where(found >= 0, 1, lone)
+            ends = np.cumsum(each)
+            flat = np.empty(int(ends[-1]), dtype=np.int32)
+            hit = found >= 0
+            flat[ends[hit] - 1] = self.own[found[hit]]
+            for k in np.flatnonzero(lone):
+                raw = chr(codes[k]).encode()
+                flat[ends[k] - each[k] : ends[k]] = [self.bytes[b] for b in raw] if self.bytes else self.unknown
+            starts[short] = (ends - each)[begins]
+            counts[short] = np.add.reduceat(each, begins)
+        tail = [flat]
+        at = len(flat)
+        for k in long:
+            ids = np.array(self._part(parts[k].as_py().replace(" ", SPACE)), dtype=np.int32)
+            starts[k], counts[k] = at, len(ids)
+            at += len(ids)
+            tail.append(ids)
+        return np.concatenate(tail), starts, counts
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(flat, offsets)``: the ids of all texts; null and empty ones have none."""
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = pc.replace_substring(plain, SPACE, " ")
+        if self.prefix:
+            lead = pc.if_else(pc.equal(pc.binary_length(marked), 0), "", " ").cast(pa.large_string())
+            marked = pc.binary_join_element_wise(lead, marked, pa.scalar("", pa.large_string()))
+        _, offs, data = marked.buffers()
+        off = np.frombuffer(offs, dtype=np.int64)[marked.offset : marked.offset + len(marked) + 1]
+        if len(marked) == 0 or off[-1] == off[0]:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+        raw = np.frombuffer(data, dtype=np.uint8)[: off[-1]]
+        space = raw == 32
+        edge = space.copy()
+        edge[1:] &= ~space[:-1]
+        edge[off[:-1][off[:-1] < off[1:]]] = True
+        edge[: off[0]] = False
+        begins = np.flatnonzero(edge)
+        bounds = np.append(begins, off[-1])
+        parts = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds), data)
+        coded = parts.dictionary_encode()
+        flat, starts, counts = self._distinct(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        each = counts[at]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - (ends - each), each)]
+        return ids, np.append(0, ends)[np.searchsorted(begins, off)]
+
+    def exact(self, texts: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether decoding the ids of each text gives it back; of nulls, whatever."""
+        joined = self.raw.take(pa.array(ids))
+        data = np.frombuffer(joined.buffers()[2] or b"", dtype=np.uint8)
+        at = np.append(0, np.cumsum(self.lens[ids]))[offsets]
+        plain = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        _, offs, raw = plain.buffers()
+        off = np.frombuffer(offs, dtype=np.int64)[plain.offset : plain.offset + len(plain) + 1]
+        raw = np.frombuffer(raw or b"", dtype=np.uint8)
+        out = np.zeros(len(plain), dtype=bool)
+        for k in range(len(plain)):
+            a, b = at[k], at[k + 1]
+            if self.prefix and a < b and data[a] == 32:
+                a += 1
+            out[k] = np.array_equal(data[a:b], raw[off[k] : off[k + 1]])
         return out
 
     def decode(self, ids: array | list[int]) -> str:
@@ -182,22 +261,14 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            flat, ends, exact = array("i"), array("i", [0]), []
-            for text in batch.column(1):
-                value = text.as_py()
-                if value is None:
-                    exact.append(None)
-                else:
-                    ids = model.encode(value)
-                    exact.append(model.decode(ids) == value)
-                    flat.extend(ids)
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(
-                pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]),
-                pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]),
-                mask=batch.column(1).is_null(),
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(exact, pa.bool_())], ["doc_id", "pieces", "exact"])
+            ids, texts = batch.column(0), batch.column(1)
+            for start, stop in slices(texts, SLICE):
+                own = texts.slice(start, stop - start)
+                flat, offsets = model.encode_all(own)
+                null = own.is_null()
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=null)
+                exact = pa.array(model.exact(own, flat, offsets), pa.bool_(), mask=null.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), lists, exact], ["doc_id", "pieces", "exact"])
 
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return slim.mapInArrow(encode, "doc_id long, pieces array<int>, exact boolean")

@@ -111,6 +111,38 @@ def test_pieces_are_those_of_the_library():
     for t in texts:
         assert list(own.encode(t)) == lib.encode(t), t
         assert own.decode(own.encode(t)) == t.replace("▁", " ")
+    column = pa.array([*texts, None, "x" * 500 + " \U0001f600 y", " " * 300, "�é" * 90])
+    for part in (column, column.slice(3), column.slice(0, 0)):
+        ids, at = own.encode_all(part)
+        got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == [lib.encode(t) if t else [] for t in part.to_pylist()]
+        assert [bool(e) for e, t in zip(own.exact(part, ids, at), part.to_pylist()) if t is not None] == ["▁" not in t for t in part.to_pylist() if t is not None]
+
+
+def test_lockstep_takes_pieces_back():
+    """A small vocabulary in which the longest piece often doesn't fit, against merging by definition."""
+    from siftline.llm.lockstep import Lockstep
+
+    for seed in range(40):
+        r = random.Random(seed)
+        words = [*"abc", *dict.fromkeys("".join(r.choice("abc") for _ in range(r.randint(2, 5))) for _ in range(14))]
+        model = object.__new__(pieces.Pieces)
+        model.score = {w: -float(r.randint(0, 9)) for w in words}
+        steps = Lockstep(words, [model.score[w] for w in words])
+        texts = ["".join(r.choice("abcx") for _ in range(r.randint(1, 14))) for _ in range(60)]
+        codes = np.array([ord(c) for t in texts for c in t], dtype=np.uint32)
+        starts = np.cumsum([0, *map(len, texts)])[:-1]
+        compatible = {(a, b): model.merged(a + b) == ([a, b] if a else [b]) for a in ["", *words] for b in words}
+        number = {w: k for k, w in enumerate(words)}
+        a, b = zip(*compatible)
+        got = steps._compatible(np.array([number.get(x, len(words)) for x in a]), np.array([number[x] for x in b]))
+        assert got.tolist() == list(compatible.values())
+        found = steps.tokens(codes, starts)
+        for t, at in zip(texts, starts):
+            want = [p for run in re.findall("[abc]+|x", t) for p in (model.merged(run) if run != "x" else [])]
+            mine = [words[k] for k in found[at : at + len(t)] if k >= 0]
+            if all(compatible[x] for run in re.findall("[abc]+", t) for x in zip(["", *model.merged(run)], model.merged(run))):
+                assert "".join(mine) == t.replace("x", "") and (mine == want or len({*model.score.values()}) < len(words))
 
 
 def test_fingerprints_estimate_generalised_jaccard():
