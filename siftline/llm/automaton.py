@@ -1,12 +1,23 @@
 """Regular expressions to one combined, minimised byte automaton.
 
 ``compile_rules`` parses each rule, builds one nondeterministic automaton for
-all, makes it deterministic by subset construction, minimises it by partition
-refinement and lays it out as one flat transition array over byte classes.
+the heads of all, makes it deterministic by subset construction, minimises it
+by partition refinement and lays it out as one flat transition array over byte
+classes.
+
+A head is what a match begins with, up to the first repeat of more than one.
+The repeats stay out of the common automaton because tokens that may hold
+hyphens can begin again inside themselves, so that the subsets would have to
+count each of many places; they are read on by an anchored automaton of the
+rule from where its head was found.
+
+``scan`` is linear in the text: a reading that meets the state which an earlier
+reading of the rule had at the same place takes over what that one found.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -15,9 +26,6 @@ DIGIT = frozenset(range(48, 58))
 SPACE = frozenset(b" \t\n\r\f\v")
 ANY = frozenset(range(256))
 NOT_WORD = ANY - WORD
-#: What a rule that begins with ``\\b`` may not follow without ``after_hyphen``: word bytes and hyphens, so that no rule begins inside a token.
-TOKEN = WORD | {45}
-NOT_TOKEN = ANY - TOKEN
 _SETS = {"d": DIGIT, "w": WORD, "s": SPACE, "D": ANY - DIGIT, "W": NOT_WORD, "S": ANY - SPACE}
 _CONTROL = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 
@@ -25,7 +33,7 @@ _CONTROL = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is a regular expression of ASCII literals, classes, groups,
-    ``|``, ``* + ? {m,n}`` and ``\\b`` at its ends (at the left it excludes a hyphen before it too, unless compiled with ``after_hyphen``); bytes are matched as they are."""
+    ``|``, ``* + ? {m,n}`` and ``\\b`` (of ASCII words) at its ends; bytes are matched as they are."""
 
     name: str
     pattern: str
@@ -282,101 +290,79 @@ def _deterministic(nfa: _Nfa, start: int, ends: dict[int, int]) -> Automaton:
     )
 
 
+#: Readings longer than this leave their states behind for later ones to meet.
+TRAIL = 64
+
+
 @dataclass(frozen=True)
 class Scanner:
-    """``scan`` reads a text once for all rules; only at an end is a rule read backwards for its start."""
+    """``scan`` reads a text once for the heads of all rules, and on from each head for its rule."""
 
     rules: tuple[Rule, ...]
     forward: Automaton
-    backward: tuple[Automaton, ...]
-    right: tuple[bool, ...]
+    backward: tuple[Automaton, ...]  # of the reversed heads
+    whole: tuple[Automaton, ...]
     left: tuple[bool, ...]
-    whole: tuple[Automaton | None, ...]  # of rules that are found by their heads
+    right: tuple[bool, ...]
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """All ``(rule, end)`` in one pass over the bytes."""
+        """All ``(rule, end of a head)`` in one pass over the bytes."""
         a = self.forward
         table, hit, state, found = a.table, a.hit, a.start, []
-        # a line feed stands for the text's beginning and for its end
-        for at, c in enumerate((b"\n" + data + b"\n").translate(a.classes)):
+        # a line feed stands for the text's beginning
+        for at, c in enumerate((b"\n" + data).translate(a.classes)):
             state = table[state + c]
             if state >= hit:
-                for rule in a.accepts[state // a.width]:
-                    end = at - 1 if self.right[rule] and self.whole[rule] is None else at
-                    if end <= len(data):
-                        found.append((rule, end))
+                found += [(rule, at) for rule in a.accepts[state // a.width]]
         return found
 
-    def _start(self, rule: int, data: bytes, end: int, floor: int) -> int:
-        """The least start, not before ``floor``, of a match of ``rule`` that ends at ``end``; -1 for none."""
-        a = self.backward[rule]
-        table, classes, state, best = a.table, a.classes, a.start, -1
-        for at in range(end - 1, floor - 1, -1):
-            state = table[state + classes[data[at]]]
-            if state == a.dead:
-                break
-            if state >= a.hit and (not self.left[rule] or at == 0 or data[at - 1] not in TOKEN):
-                best = at
-        return best
-
     def _heads(self, rule: int, data: bytes, end: int) -> list[int]:
-        """All starts of words from which the head of ``rule`` reaches ``end``."""
+        """All places from which the head of ``rule`` reaches ``end``."""
         a, at, out = self.backward[rule], end, []
         state = a.start
         while True:
-            if state >= a.hit and (at == 0 or data[at - 1] not in WORD):
+            if state >= a.hit and (not self.left[rule] or at == 0 or data[at - 1] not in WORD):
                 out.append(at)
             if at == 0 or state == a.dead:
                 return out
             at -= 1
             state = a.table[state + a.classes[data[at]]]
 
-    def _stop(self, rule: int, data: bytes, start: int) -> int:
-        """The greatest end of a match of ``rule`` that begins at ``start``; -1 for none."""
-        a, best = self.whole[rule], -1
-        state = a.start
-        for at in range(start, len(data)):
-            state = a.table[state + a.classes[data[at]]]
-            if state == a.dead:
-                break
-            if state >= a.hit and (not self.right[rule] or (data[at] in WORD) != (data[at + 1 : at + 2] != b"" and data[at + 1] in WORD)):
-                best = at + 1
-        return best
-
-    def _extended(self, rule: int, data: bytes, ends: set[int]) -> list[tuple[int, int, int]]:
+    def _matches(self, rule: int, data: bytes, starts: list[int]) -> list[tuple[int, int, int]]:
+        """Of ascending ``starts``, the leftmost-longest matches that don't overlap."""
+        a, closes, n = self.whole[rule], self.right[rule], len(data)
+        table, classes, hit, dead = a.table, a.classes, a.hit, a.dead
         out, floor = [], 0
-        for s in sorted({s for e in ends for s in self._heads(rule, data, e)}):
-            if s >= floor and (e := self._stop(rule, data, s)) > s:
-                out.append((rule, s, e))
-                floor = e
+        trails: list[tuple[int, array, int]] = []  # where a reading began, its states, its match's end
+        for s in starts:
+            if s < floor:
+                continue
+            trails = [t for t in trails if t[0] + len(t[1]) > s]
+            state, best, trail = a.start, -1, array("i")
+            for at in range(s, n):
+                state = table[state + classes[data[at]]]
+                if state == dead:
+                    break
+                trail.append(state)
+                if state >= hit and (not closes or (data[at] in WORD) != (at + 1 < n and data[at + 1] in WORD)):
+                    best = at + 1
+                met = next((t for t in trails if t[0] <= at < t[0] + len(t[1]) and t[1][at - t[0]] == state), None) if trails else None
+                if met:
+                    best = met[2] if met[2] > at + 1 else best
+                    break
+            if len(trail) > TRAIL:
+                trails.append((s, trail, best))
+            if best > s:
+                out.append((rule, s, best))
+                floor = best
         return out
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """``(rule, start, end)``: for each rule its leftmost-longest matches that don't overlap."""
-        import heapq
-
-        found = self.ends(data)
-        if not found:
-            return []
-        out = []
         by_rule: dict[int, set[int]] = defaultdict(set)
-        for rule, end in found:
+        for rule, end in self.ends(data):
             by_rule[rule].add(end)
-        for rule, ends in sorted(by_rule.items()):
-            if self.whole[rule] is not None:
-                out += self._extended(rule, data, ends)
-                continue
-            floor = 0
-            heap = [(s, -e) for e in ends if (s := self._start(rule, data, e, 0)) >= 0]
-            heapq.heapify(heap)
-            while heap:
-                s, e = heapq.heappop(heap)
-                if s >= floor:
-                    out.append((rule, s, -e))
-                    floor = -e
-                elif -e > floor and (s := self._start(rule, data, -e, floor)) >= 0:
-                    heapq.heappush(heap, (s, e))
-        return out
+        return [x for rule, ends in sorted(by_rule.items()) for x in self._matches(rule, data, sorted({s for e in ends for s in self._heads(rule, data, e)}))]
 
 
 def _head(tree: tuple) -> tuple:
@@ -393,36 +379,21 @@ def _head(tree: tuple) -> tuple:
     return ("cat", parts)
 
 
-def compile_rules(rules: list[Rule], after_hyphen: bool = False) -> Scanner:
-    """With ``after_hyphen``, ``\\b`` is the plain word boundary at both ends.
-
-    A token that may hold hyphens can then begin again inside itself, which
-    subset construction can't bear; so of a rule with ``\\b`` at its left only
-    the head is in the common automaton, and an automaton of its own, which
-    begins at the head, finds the end.
-    """
+def compile_rules(rules: list[Rule]) -> Scanner:
     nfa = _Nfa()
     start = nfa.state()
     nfa.moves[start].append((ANY, start))
-    ends, backward, left, right, whole = {}, [], [], [], []
+    ends, backward, whole, left, right = {}, [], [], [], []
     for k, rule in enumerate(rules):
         begins, tree, closes = parse(rule.pattern)
-        own = None
-        if after_hyphen and begins:
-            one = _Nfa()
-            first = one.state()
-            own = _deterministic(one, first, {one.add(tree, first): k})
-            tree = _head(tree)
-        at = nfa.add(("set", (NOT_TOKEN if own is None else NOT_WORD) if begins else ANY), start)
-        at = nfa.add(tree, at)
-        if closes and own is None:
-            at = nfa.add(("set", NOT_WORD), at)
-        ends[at] = k
+        one = _Nfa()
+        first = one.state()
+        whole.append(_deterministic(one, first, {one.add(tree, first): k}))
+        head = _head(tree)
+        ends[nfa.add(head, nfa.add(("set", NOT_WORD if begins else ANY), start))] = k
         back = _Nfa()
         first = back.state()
-        backward.append(_deterministic(back, first, {back.add(_reversed(tree), first): k}))
+        backward.append(_deterministic(back, first, {back.add(_reversed(head), first): k}))
         left.append(begins)
         right.append(closes)
-        whole.append(own)
-    # a rule that may end anywhere has its end just after the byte that is read
-    return Scanner(tuple(rules), _deterministic(nfa, start, ends), tuple(backward), tuple(right), tuple(left), tuple(whole))
+    return Scanner(tuple(rules), _deterministic(nfa, start, ends), tuple(backward), tuple(whole), tuple(left), tuple(right))
