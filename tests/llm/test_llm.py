@@ -266,16 +266,45 @@ def test_pii_on_held_out_sentences():
     assert hit >= 0.97 * private and wrong <= 0.01 * 1500
 
 
-def test_topk_is_brute_force(spark):
+def brute_force_topk(rows, k, every):
+    best = {}
+    for i, v in rows:
+        if i is not None and v and all(e is not None and np.isfinite(e) for e in v):
+            best[i] = min(best.get(i, v), v)
+    out = set()
+    for i, v in best.items():
+        if i % every == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in best.items() if j != i and len(w) == len(v))
+            out |= {(i, n + 1, j, round(d**0.5, 6)) for n, (d, j) in enumerate(near[:k])}
+    return out
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_topk_is_brute_force(spark, clustered):
     rng = np.random.RandomState(0)
-    x = rng.randn(300, 12).round(1)
-    x[50:60] = x[0]
-    rows = [(i, [float(e) for e in v], 0) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [1.0, None], 0), (1002, [], 0), (1003, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (7, [float(e) for e in x[7]], 0)]
-    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows=64).collect()
-    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    want = {(i, k + 1, j) for i in range(300) for k, (_, j) in enumerate(sorted((round(far[i, j], 12), j) for j in range(300) if j != i)[:10])}
-    assert len(got) == 3000 and len(want - {(r.vec_id, r.rank, r.near_id) for r in got}) <= 30  # rounding of equal distances
-    assert {(r.vec_id, r.rank, r.near_id) for r in got if r.vec_id in range(51, 60)} >= {(55, 1, 0), (51, 2, 50)}
+    x = rng.randint(-9, 9, (300, 20)) + (np.repeat(rng.randint(-900, 900, (6, 20)), 50, axis=0) if clustered else 0)
+    x[50:70] = x[0]  # ties
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)] + [(1000, None), (1020, [1.0, None]), (1040, []), (1060, [1.0, 2.0]), (1080, [float("nan"), 2.0]), (1061, [2.0, 2.0]), (None, [1.0, 2.0]), (40, [float(e) for e in x[40]]), (60, [-999.0] * 20), (-20, [1.0] * 20)]
+    wide = [(i, v, 7, "x", 0.0) for i, v in rows]  # columns with the names that the plan uses itself
+    docs = spark.createDataFrame(wide, "vec_id long, embedding array<double>, cell int, id string, d double").repartition(3)
+    for kind in ("double", "float"):
+        typed = docs.withColumn("embedding", docs.embedding.cast(f"array<{kind}>"))
+        for how in ({}, {"rows": 16, "part": 3, "tile": 2000, "worth": 2}, {"every": 1, "k": 3, "rows": 50, "worth": 30}):
+            got = topk.nearest(typed, **how).collect()
+            assert len(got) == len({(r.vec_id, r.rank) for r in got})
+            assert {tuple(r) for r in got} == brute_force_topk(rows, how.get("k", topk.K), how.get("every", topk.EVERY)), how
+
+
+def test_topk_leaves_far_cells_out(spark):
+    rng = np.random.RandomState(1)
+    centres = rng.randn(8, 32) * 100
+    x = np.repeat(centres, 200, axis=0) + rng.randn(1600, 32)
+    docs = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = topk._clean(docs, "vec_id", "embedding", "double")
+    pivots = topk._pivots(v, 20, 64, 2)
+    blocks = v.mapInArrow(topk._packer(pivots, 20, 64, np.dtype(np.float64)), topk._BLOCKS)
+    needs, bounds = topk._meetings(blocks, pivots, 10)
+    assert len(bounds) >= 8 and sum(map(len, needs.values())) < 0.35 * len(needs) * len(bounds)
 
 
 def test_templates():
