@@ -309,19 +309,54 @@ def test_topk_leaves_far_cells_out(spark):
 
 def test_templates():
     run = lambda t, **v: chat.compile_template(t)(v)[0]
-    assert run("{% for x in xs -%} {{ loop.index }}{{ x|upper }}{% else %}none{% endfor %}", xs=["a", "b"]) == "1A2B"
-    assert run("{% for x in xs %}{% else %}none{% endfor %}", xs=[]) == "none"
-    assert run("{% if a.b == 'x' and not c %}1{% elif c %}2{% else %}3{% endif %}", a={"b": "x"}, c=0) == "1"
-    assert run("{% set y = 1 + 2 * 3 %}{{ y ~ '!' }}{{ z is defined }}") == "7!False"
+    xs, d = ["a", "b", "c"], {"k": "v", "n": [1, 2]}
+    for template, want in (
+        ("{% for x in xs -%} {{ loop.index }}{{ x|upper }}{% else %}none{% endfor %}", "1A2B3C"),
+        ("{% for x in none_ %}{% else %}none{% endfor %}", "none"),
+        ("{% if d.k == 'x' and not c %}1{% elif c %}2{% else %}3{% endif %}", "3"),
+        ("{% set y = 1 + 2 * 3 %}{{ y ~ '!' }}{{ z is defined }}", "7!False"),
+        ("{{ d.items }}{{ d['k'] }}{{ d['zz'] }}", "v"),
+        ("{% for m in xs if m != 'a' %}{{ m }}{{ loop.length }}{{ loop.previtem }}{{ loop.last }},{% endfor %}", "b2False,c2bTrue,"),
+        ("{{ xs[1:] }}{{ xs[::-1][0] }}{{ 'hello'[1:3] }}{{ xs[-1] }}{{ xs[:-1]|length }}", "['b', 'c']celc2"),
+        ("{{ ' x '.strip() + 'a-b'.split('-')[1] }}{{ 'ab'.startswith('a') }}{{ d.get('q', 'w') }}", "xbTruew"),
+        ("{% set ns = namespace(n=0) %}{% for x in xs %}{% set ns.n = ns.n + 1 %}{% set q = x %}{% endfor %}{{ ns.n }}{{ q }}", "3"),
+        ("{{ {'a': {'b': '}}'}}['a']['b'] }}{{ dict(a=1).a }}{{ (1, 2)[1] }}", "}}12"),
+        ("{% macro f(a, b='x') %}<{{ a }}{{ b }}>{% endmacro %}{{ f(1) }}{{ f(2, b=3) }}", "<1x><23>"),
+        ("{% for k, v in d.items() %}{{ k }}={{ v }};{% endfor %}", "k=v;n=[1, 2];"),
+        ("{% for x in xs %}{% if x == 'b' %}{% continue %}{% endif %}{{ x }}{% if x == 'c' %}{% break %}{% endif %}{% endfor %}", "ac"),
+        ("{% set t %}a{{ 1 }}{% endset %}{{ t }}{{ loop is defined }}{{ 4 is divisibleby 2 }}{{ 3 is not none }}", "a1FalseTrueTrue"),
+        ("{{ ms|selectattr('role', 'equalto', 'user')|map(attribute='content')|join(',') }}{{ ms|tojson }}", 'hi[{"role": "user", "content": "hi"}, {"role": "bot", "content": "yo"}]'),
+        ("{% for i in range(3) %}{{ loop.cycle('a', 'b') }}{{ loop.revindex }}{% endfor %}{{ 7 // 2 }}{{ 7 / 2 }}{{ 7 % 2 }}", "a3b2a133.51"),
+        ("a \n {%- if true -%} \n b {% endif %}{# c #}", "ab "),
+        ("{{ x.y if x else 'none' }}{{ (d.k if false) }}{{ none }}", "none"),
+    ):
+        assert run(template, xs=xs, d=d, ms=[{"role": "user", "content": "hi"}, {"role": "bot", "content": "yo"}], none_=[]) == want, template
+    assert chat.compile_template(" {% if true %}\n a\n {% endif %}\nb", blocks=True)({})[0] == " a\nb"
     assert chat.parse("{% if 1 > 2 %}a{% else %}{{ 'b' + 'c' }}{% endif %}") == [("put", ("const", "bc"))]
-    assert run("{{ x.items }}{{ x['y'] }}", x={"y": 1}) == "1"
-    for bad in ("{{ x.__class__ }}", "{% if a %}", "{{ f( }}", "{{ a|eval }}", "{% import os %}", "{{ }}"):
+    bad = ("{{ x.__class__ }}", "{% if a %}", "{{ f( }}", "{{ a|eval }}", "{% import os %}", "{{ }}", "{% for x in y recursive %}{% endfor %}", "{{ x.format(1) }}", "{% break %}", "{{ a b }}", "{{ 'x' }", "{% else %}", "{% endif x %}", "{{ a is strange }}", "{% for x in y %}", "{{ a.b(c=1, 2) }}", "{% call f() %}", "{% filter upper %}")
+    for template in bad:
         with pytest.raises(chat.TemplateError):
-            chat.compile_template(bad)
+            chat.compile_template(template)
+    for template in ("{{ f(1) }}", "{{ xs.get('a') }}", "{{ q.y }}", "{{ raise_exception('no') }}", "{% for x in 5 %}{% endfor %}", "{% for x in xs %}{{ loop.depth9 }}{% endfor %}", "{{ range(10000000) }}", "{% set xs.a = 1 %}", "{{ 5[1:] }}"):
+        with pytest.raises(chat.TemplateError):
+            run(template, xs=xs)
     text, marks = chat.compile_template(chat.CHATML)({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]})
     assert [text[a:b] for a, b in marks] == ["yo<|im_end|>"]
 
 
+def test_chat_with_odd_turns(spark):
+    import duckdb
+
+    rows = [(1, 2, "assistant", "b", "x", 1), (1, 1, "user", "a", "x", 1), (1, None, None, None, "x", 1), (1, 2, "assistant", "b", "x", 1), (2, 1, "user", LONG, "x", 1), (None, 1, "user", "p", "x", 1), (None, 1, "user", "q", "x", 1), (3, 1, "assistant", "", "x", 1), (3, 1, "assistant", "é", "x", 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, lone string, messages int")
+    got = {tuple(r) for r in chat.rendered(turns.repartition(4)).collect()}
+    conversations = turns.toPandas()  # noqa: F841
+    want = {tuple(r) for r in duckdb.sql(chat.oracle_sql().replace("FROM conversations", "FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)")).fetchall()}
+    say = lambda *parts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in parts)
+    assert {(r[0], r[1]) for r in got} == {(1, say(("", ""), ("user", "a"), ("assistant", "b"), ("assistant", "b"))), (2, say(("user", LONG))), (None, say(("user", "p"))), (None, say(("user", "q"))), (3, say(("assistant", ""), ("assistant", "é")))}
+    assert {(r[1], r[2], r[3]) for r in got} == {(r[1], r[2], r[3]) for r in want}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
