@@ -17,14 +17,18 @@ texts are near-duplicates when at least ``matches`` of the coordinates agree.
 5. Exact treatment of hot lists.  First every posting is held only against the
    least text of its list, which is linear, and the components of the pairs so
    found are formed.  Then pairs within a list are tried only *across*
-   components.  A group of n near copies so costs about n comparisons, not
-   n^2, nothing is capped, and the components are those of all matching pairs.
+   components, in blocks of about ``BLOCK`` texts.  A group of n near copies so
+   costs about n comparisons, not n^2, nothing is capped, and the components
+   are those of all matching pairs.  n texts that share enough of their rare
+   values without matching cost n^2 candidates; exactness leaves no less.
 
 The result has each text but the least of its group, with its best partner.
 Cases: null and wordless texts have no signature and no partners; texts of one
 or two words are one shingle; rows with a null id are ignored; repeated rows
 count once, and rows of one id are never each other's partners; other columns
-of the input are ignored; an empty table gives no rows.
+of the input, whatever their names, are ignored; texts of any length are used
+whole; an empty table gives no rows.  Which rows ``without_near_copies`` keeps
+where ids are repeated is said there.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut
+from siftline.llm.common import cut, fresh
 from siftline.llm.components import components
 from siftline.llm.wordhash import mix64, slices, word_hashes
 
@@ -45,6 +49,8 @@ MATCHES = 32
 SHINGLE = 3
 #: Collisions beyond the first that two prefixes must have (each lengthens the prefixes by one).
 OVERLAP = 3
+#: Texts of one component in a block, about.
+BLOCK = 256
 
 
 def _seeds(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +171,10 @@ def near_groups(
         "token", "id", F.coalesce("root", "id").alias("root")
     )
     spans = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    blocks = labelled.join(spans, "token").groupBy("token", "root").agg(F.collect_list("id").alias("ids"))
+    mixed = labelled.join(spans, "token")
+    sizes = mixed.groupBy("token", "root").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+    blocks = mixed.join(sizes, ["token", "root"]).groupBy("token", "root", part).agg(F.collect_list("id").alias("ids"))
     left, right = (blocks.select("token", F.col("root").alias(f"root_{k}"), F.col("ids").alias(f"ids_{k}")) for k in "ab")
     across = (
         left.join(right, "token").where("root_a < root_b").select(F.explode("ids_a").alias("x"), "ids_b")
@@ -191,21 +200,24 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one text, that of the least id, of each group of near-duplicates.
 
     All columns stay.  Rows with a null id, null or wordless texts and texts
-    without partners stay.  Of several rows with one id, one row stays.
+    without partners stay.  Different texts of one id are texts of their own:
+    one has the id's place in the order of ids, the others come after all ids;
+    of rows with one id and the same text that with the least JSON stays.
     """
-    groups = near_groups(docs, id_col, text_col, **how)
-    gone = groups.select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
-    repeated = cut(docs.groupBy(F.col(id_col).alias("twice")).agg(F.count("*").alias("n")).where("n > 1 and twice is not null").select("twice"))
+    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice"))
     if repeated.isEmpty():
-        return kept
-    from pyspark.sql import Window
-
-    once = kept.join(repeated, kept[id_col] == repeated["twice"], "left_anti")
-    order = [F.col(c).cast("string").asc_nulls_last() for c in [text_col]]
-    number = "__row_of_id"
-    while number in docs.columns:
-        number += "_"
-    rest = kept.join(repeated, kept[id_col] == repeated["twice"], "left_semi")
-    rest = rest.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(number) == 1).drop(number)
-    return once.unionByName(rest)
+        gone = near_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    key, text = fresh(docs, "key_of_row"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    columns, ids = [F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long")
+    same = F.sha2(F.concat(F.when(F.col(text_col).isNull(), "n").otherwise("t"), text), 256)
+    twins = docs.join(repeated, docs[id_col] == repeated["twice"], "left_semi")
+    once = cut(twins.select(ids.alias("id"), same.alias("hash"), F.struct(*columns).alias("row")).groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")))
+    # keys above all ids for the further texts of repeated ones, fixed by being written
+    first = once.groupBy("id").agg(F.min("hash").alias("first"))
+    most = docs.agg(F.max(ids)).first()[0]
+    own = F.when(F.col("hash") == F.col("first"), F.col("id")).otherwise(F.lit(most + 1) + F.monotonically_increasing_id())
+    once = cut(once.join(first, "id").select("row", own.alias("key"))).select("row.*", F.col("key").alias(key))
+    every = docs.join(repeated, docs[id_col] == repeated["twice"], "left_anti").withColumn(key, ids).unionByName(once)
+    gone = near_groups(every, key, text_col, **how).select(F.col("doc_id").alias("gone"))
+    return every.join(gone, every[key] == gone["gone"], "left_anti").drop(key)

@@ -190,6 +190,26 @@ def test_near_groups_are_those_of_brute_force(spark):
     assert got == {i: k for i, k in enumerate(root) if i != k}
 
 
+def test_near_copies_of_repeated_ids(spark):
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"w{r.randint(0, 500)}" for _ in range(50)) for _ in range(4))
+    rows = [(1, a, "x", 1), (2, b, "x", 1), (2, c, "x", 1), (2, c, "y", 1), (2, c, "a", 1), (3, c, "x", 1), (4, d, "x", 1), (4, d, "x", 1), (5, a, "x", 1), (None, a, "x", 1), (None, a, "x", 1), (6, None, "x", 1), (6, None, "b", 1), (6, "", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string, twice int")
+    # text c is kept with id 2 where it is that id's first text, else with id 3
+    want = [(1, a, "x", 1), (2, b, "x", 1), (4, d, "x", 1), (None, a, "x", 1), (None, a, "x", 1), (6, None, "b", 1), (6, "", "x", 1)]
+    for part in (1, 5):
+        kept = near_dedup.without_near_copies(docs.repartition(part))
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted(map(str, (r for r in got if r[1] != c))) == sorted(map(str, want))
+        assert [r for r in got if r[1] == c] in ([(2, c, "a", 1)], [(3, c, "x", 1)])
+
+
+def test_near_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    test_near_groups_are_those_of_brute_force(spark)
+
+
 def test_mix_meets_budgets_as_sorting_would(spark):
     r = random.Random(2)
     rows = [row(i, "x " * r.randint(0, 9), r.choice("abbbbbbb")) for i in range(400)]
