@@ -13,13 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share; only
-    where none is set (tests, a laptop) is a temporary one made."""
+    """The session's ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is set, a session within this process makes a temporary one; on
+    a cluster that would be a folder of the driver alone, so it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftline-checkpoint-")
-        )
+        place = context.getConf().get("spark.checkpoint.dir")
+        if not place:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            place = tempfile.mkdtemp(prefix="siftline-checkpoint-")
+        context.setCheckpointDir(place)
     return context.getCheckpointDir()
 
 
@@ -29,11 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: Column | str) -> DataFrame:
-    """``df`` over the session's number of shuffle partitions by ``key``."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def hash60(*columns: Column | str) -> Column:
     """A 60-bit hash that DuckDB computes alike: ``('0x' || md5(...)[:15])::BIGINT``."""
     joined = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])

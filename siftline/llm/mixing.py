@@ -18,7 +18,8 @@ all tokens) stays whole.  Sources that ``weights`` doesn't name have weight 0.
 
 Cases: a null source is a source of its own; a null id hashes like an empty
 one; rows of one id share a hash and stay or go together; documents without
-tokens stay as long as their hash is below the threshold; other columns,
+tokens stay as long as their hash is below the threshold; a text longer than
+its source's budget goes if the hash puts it at the boundary; other columns,
 whatever their names, stay as they are; an empty table gives no rows.
 """
 
@@ -70,6 +71,9 @@ def thresholds(slim: DataFrame, budget: DataFrame) -> DataFrame:
     while not state.isEmpty():
         before, shift = shift, shift - STEP
         at = part.withColumn("bucket", F.shiftright("h", before)).join(state, ["key", "bucket"])
+        if before < BITS:  # few rows are left, so that later rounds don't read all again
+            at = cut(at)
+            part = at.select("key", "h", "tokens")
         hist = at.groupBy("key", F.shiftright("h", shift).alias("bucket"), "left").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
         run = F.sum("t").over(Window.partitionBy("key").orderBy("bucket"))
         first = F.min_by(F.struct("bucket", "t", "n", "run", "left"), "bucket").alias("b")
@@ -89,7 +93,7 @@ def mixed(
     source_col: str = "source",
     tokens_col: str | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, with all their columns; ``tokens_col`` adds their tokens."""
+    """The rows of ``docs`` that the mix keeps, with all their columns; ``tokens_col`` adds their tokens, under a longer name where it is taken."""
     count, hashed, key = tokens(docs[text_col]), hash60(id_col, F.lit("mix")), source_key(docs[source_col])
     slim = cut(docs.select(key.alias("key"), hashed.alias("h"), count.alias("tokens")))
     limits = cut(thresholds(slim, budgets(slim, weights, total)))
@@ -98,7 +102,7 @@ def mixed(
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
     kept = docs.withColumn(k, key).join(limits, k).where(hashed < F.col(limit)).drop(k, limit).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept if tokens_col is None else kept.withColumn(tokens_col, tokens(F.col(text_col)))
+    return kept if tokens_col is None else kept.withColumn(fresh(docs, tokens_col), tokens(F.col(text_col)))
 
 
 def oracle_sql() -> str:

@@ -170,6 +170,42 @@ def test_fingerprints_estimate_generalised_jaccard():
     assert abs((signs[0] == signs[1]).mean() - 8 / 13) < 0.04
 
 
+def test_fingerprints_are_those_of_brute_force(spark):
+    """Every word of every text drawn by itself, the least draw taken."""
+    from siftline.llm.wordhash import mix64
+
+    r = random.Random(12)
+    texts = [None, "", " .,;", "One one ONE", *(" ".join(f"w{r.randint(0, 9)}" for _ in range(r.randint(1, 40))) for _ in range(60)), LONG[:2000]]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(4, texts[4], "x"), (None, texts[5], "x")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, signature string")).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for k, t in enumerate(texts):
+        counts: dict[str, int] = {}
+        for w in re.findall(r"\w+", (t or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+        least = [min((float(fingerprints.draws(np.array([hash_word(w)], dtype=np.uint64), np.array([float(n)]), s)[0]) for w, n in counts.items()), default=None) for s in range(fingerprints.SAMPLES)]
+        want[k] = [int(mix64(np.array([x]).view(np.uint64))[0].astype(np.int64)) for x in least if x is not None]
+    assert all(list(x.signature) == want[5 if x.doc_id is None else x.doc_id] for x in got)
+
+
+def test_mix_keeps_a_column_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "mine")], "doc_id long, text string, source string, tokens string")
+    assert [tuple(r) for r in mixing.mixed(docs, tokens_col="tokens").collect()] == [(1, "a b", "s", "mine", 2)]
+
+
+def test_shared_folder_on_a_cluster():
+    from siftline.llm.common import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        shared_dir(type("Session", (), {"sparkContext": Context}))
+
+
 def test_near_groups_are_those_of_brute_force(spark):
     r = random.Random(1)
     base = [" ".join("w" + str(r.randint(0, 400)) for _ in range(60)) for _ in range(12)]
