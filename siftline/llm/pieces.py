@@ -22,7 +22,8 @@ Decoding gathers the bytes of the pieces.
 
 Cases: a null text has null pieces and a null check; an empty text has none;
 texts of any length are encoded whole; repeated rows have a row each; a null
-id stays null; other columns are ignored; an empty table gives no rows.
+id stays null; other columns are ignored unless they are to be kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.lockstep import Lockstep
 from siftline.llm.wordhash import slices
@@ -255,20 +257,24 @@ def pieces(path: str = MODEL) -> Pieces:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
-    """``(doc_id, pieces, exact)`` of every row; ``exact``: decoding gives the text back."""
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, pieces, exact)`` of every row, with the columns ``keep`` after them; ``exact``: decoding gives the text back."""
+    names = ["doc_id", "pieces", "exact", *keep]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError("a column to keep has the name of a result")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, *rest = batch.columns
             for start, stop in slices(texts, SLICE):
                 own = texts.slice(start, stop - start)
                 flat, offsets = model.encode_all(own)
                 null = own.is_null()
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=null)
                 exact = pa.array(model.exact(own, flat, offsets), pa.bool_(), mask=null.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), lists, exact], ["doc_id", "pieces", "exact"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), lists, exact, *(c.slice(start, stop - start) for c in rest)], names)
 
-    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return slim.mapInArrow(encode, "doc_id long, pieces array<int>, exact boolean")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType()), *[T.StructField(c, docs.schema[c].dataType) for c in keep]])
+    return slim.mapInArrow(encode, schema)

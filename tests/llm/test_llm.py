@@ -446,7 +446,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i >= 200)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(got) == {*range(60), 101} and all(x.exact for x in got.values())
+    assert set(got) == {*range(60), 101} and all(x.exact and x.lang == "en" and x.source == "s" for x in got.values())
     assert "[SECRET:quoted_token]" in pieces.pieces().decode(got[101].pieces)
 
 
@@ -460,3 +460,23 @@ def test_pipeline_rereads_each_stage(spark, tmp_path, monkeypatch):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert all("/first.parquet/" in f for f in read[1]) and all("/second.parquet/" in f for f in got.inputFiles())
     assert {tuple(r) for r in got.collect()} == {row(1, "a"), row(2, "b")}
+
+
+def test_pipeline_with_odd_rows(spark, odd, labels, tmp_path):
+    import corpus_pipeline
+
+    own = odd.select("doc_id", "text", "lang", "source", "n_chars", "key", "threshold", "gone")
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = own
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == own.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} <= {1, 2, 3, 4, 7, None} and len(got) == len({x.doc_id for x in got})
+    long = [x for x in got if x.doc_id == 3]
+    assert all(pieces.pieces().decode(x.pieces) == LONG for x in long) and all(x.pieces is None for x in got if x.doc_id == 1)
+    (tmp_path / "none").mkdir()
+    own.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
