@@ -1,5 +1,13 @@
 """The corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are replaced,
-sources are mixed to their target weights, and what is left is encoded."""
+sources are mixed to their target weights, and what is left is encoded.
+
+Every stage but the last returns all columns of its documents, whatever else these have; the last has ``doc_id, pieces, exact, lang, source``.
+
+Cases: a null text passes all stages and has null pieces, an empty one has none; rows with a null id are no one's copies and
+stay or go in the mix by the hash of an empty id; of rows with one id and the same text one stays, different texts of one id
+are judged by themselves; of two near copies that of the lesser id stays; a null source is a source of its own; null labels
+are ignored; texts of any length are used whole; without labels nothing is toxic; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(docs)
+    return pieces.encoded(docs, keep=("lang", "source"))
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", near), ("secret_scan", secret), ("mixing", mix), ("sentencepiece", encode)]
