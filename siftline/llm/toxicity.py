@@ -2,28 +2,35 @@
 
 Fitting takes at most ``EXAMPLES`` labelled documents of each class (those of
 the least id hashes; every ``HELD``-th is held out for calibration).  Terms are
-all words of the examples; none is left out for being rare.  A weight is
+all words of the examples and, for inflected languages, the first ``STEMS``
+bytes of longer ones; none is left out for being rare.  A weight is
 ``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)``, with ``N`` and ``df`` counted over
-all documents, times how far the word tells the
-classes apart: the size of the difference of its log frequencies in them
-(smoothed by ``SMOOTH``), ``EVEN`` at least.  Words of small languages, which
-few examples can hold, so count as much as their examples are one-sided.
-
-Search is exact.  The index has each term's postings; the postings of all words
-of a text are added up, and the ``NEAREST`` by cosine vote with ``1 / (1.05 - cosine)``
-(ties by the lesser id) against a weight of ``PRIOR`` for clean, so that a few
-faint likenesses prove nothing; a logistic curve fitted on the held-out documents makes
-the share of toxic votes a probability.
-
-The model has the distinct words of at most ``2 * EXAMPLES`` texts, whatever the
+all documents, times how far the term tells the classes apart: the size of the
+difference of its log frequencies in them (smoothed by ``SMOOTH``), ``EVEN`` at
+least.
+
+Search is exact, by a block-max inverted index.  Examples lie in blocks of
+``BLOCK`` like ones; a term in a share of ``HEAVY`` of all or more has its greatest
+weight in each block.  The postings of the other terms are added up at once; the
+greatest such sum of a block and its terms' greatest weights together bound the
+cosine with any of its examples.  The blocks of the greatest bounds are scored
+first; then of the others only those whose bound reaches the ``NEAREST``-th best
+cosine so far.
+
+The ``NEAREST`` by cosine vote with ``1 / (1.05 - cosine)`` (ties by the lesser
+id) against a weight of ``PRIOR`` for clean, so that a few faint likenesses
+prove nothing; a logistic curve fitted on the held-out documents makes the share
+of toxic votes a probability.
+
+The model has the distinct terms of at most ``2 * EXAMPLES`` texts, whatever the
 size of the table, so sending it to executors is safe; texts are only read in
-place, and only the words' document frequencies are shuffled.
+place, and only the terms' document frequencies are shuffled.
 
 Cases: null, empty and wordless texts and texts without a word of
 any example have score 0 and are kept; texts of any length are used whole; rows with a null id are
 judged by their text too; repeated rows are judged each; of an id's labels the
 most toxic counts; null labels are ignored; no toxic labels reject nothing;
-other columns stay as they are; an empty table gives no rows.
+other columns, whatever their names, stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,27 +43,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.wordhash import slices, term_counts, word_hashes
+from siftline.llm.wordhash import mix64, slices, term_counts, word_hashes
 
 EXAMPLES, HELD, NEAREST = 2000, 4, 15
+STEMS = (4, 6, 8)
 SMOOTH, EVEN = 0.5, 0.1
+#: Examples of a block, and the blocks that are scored first.
+BLOCK, FIRST = 64, 3
+#: A term in at least this share of the examples has postings that are skipped by blocks.
+HEAVY = 1 / 16
 PRIOR = 20.0
 THRESHOLD = 0.5
 
 
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, term, count)`` of the distinct terms of every row."""
+    return term_counts(*word_hashes(texts, STEMS))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 @dataclass(frozen=True)
 class Index:
-    terms: np.ndarray  # sorted word hashes
+    terms: np.ndarray  # sorted term hashes
     factor: np.ndarray  # of each term's weight
-    starts: np.ndarray  # term k has the postings from starts[k] to starts[k + 1]
+    starts: np.ndarray  # of a light term k the postings from starts[k] to starts[k + 1]
     rows: np.ndarray  # of each posting the example
-    values: np.ndarray  # and its weight there
+    values: np.ndarray  # and the term's weight there
+    heavy: np.ndarray  # the number of a heavy term, -1 of a light one
+    most: np.ndarray  # of each heavy term and block the greatest weight
+    place: np.ndarray  # of each block and heavy term the row of ``dense``, -1 for none
+    dense: np.ndarray  # the weights in the examples of a block
     ids: np.ndarray
     toxic: np.ndarray
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(row, terms, weights)`` of the texts that have a term."""
-        row, word, count = term_counts(*word_hashes(texts))
+        row, word, count = terms_of(texts)
         if not len(row) or not len(self.terms):
             return
         at = np.minimum(np.searchsorted(self.terms, word), len(self.terms) - 1)
@@ -72,15 +98,30 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
         """``(cosine, example)`` of the ``k`` best positive cosines, ties by the lesser id."""
-        n, size = len(self.ids), self.starts[terms + 1] - self.starts[terms]
-        at = np.arange(size.sum()) + np.repeat(self.starts[terms] - (np.cumsum(size) - size), size)
-        scores = np.bincount(self.rows[at], weights=self.values[at] * np.repeat(weights, size), minlength=n).round(9)
-        if without >= 0:
-            scores[without] = 0.0
-        floor = np.partition(scores, n - k)[n - k] if n > k else 0.0
-        near = np.flatnonzero((scores > 0) & (scores >= floor))
-        near = near[np.lexsort((self.ids[near], -scores[near]))[:k]]
-        return list(zip(scores[near], near.tolist()))
+        n, blocks = len(self.ids), len(self.place)
+        size = self.starts[terms + 1] - self.starts[terms]
+        at = _ranges(self.starts[terms], size)
+        scores = np.bincount(self.rows[at], weights=self.values[at] * np.repeat(weights, size), minlength=blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+        known = self.heavy[terms]
+        own = known >= 0
+        known, weight = known[own], weights[own]
+        bounds = weight @ self.most[known] + scores.max(axis=1)
+        todo, rest = np.argsort(-bounds, kind="stable")[:FIRST], np.ones(blocks, dtype=bool)
+        for _ in range(2):
+            rest[todo] = False
+            for b in todo:
+                row = self.place[b, known]
+                there = row >= 0
+                scores[b] += weight[there] @ self.dense[row[there]]
+            if without >= 0:
+                scores.ravel()[without] = 0.0
+            flat = scores.ravel()
+            floor = np.partition(flat, len(flat) - k)[-k] if n > k else 0.0
+            todo = np.flatnonzero(rest & (bounds > 0) & (bounds >= floor - 2e-9))  # rounding apart
+        flat = flat.round(9)
+        near = np.flatnonzero((flat > 0) & (flat >= floor - 1e-9))
+        near = near[np.lexsort((self.ids[near], -flat[near]))[:k]]
+        return list(zip(flat[near], near.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = PRIOR + sum(1.0 / (1.05 - s) for s, _ in near)
@@ -108,12 +149,29 @@ class Model:
 Frequencies = Callable[[np.ndarray], tuple[int, np.ndarray]]
 
 
+def _order(row: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """An order of the ``n`` examples in which like ones are close: halved again and again along signed sums of weights."""
+    flags = mix64(word[:, None] ^ (np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]) >> np.uint64(63)
+    sums = np.stack([np.bincount(row, weights=weight * (1.0 - 2.0 * f), minlength=n) for f in flags.T.astype(float)], axis=1) if n else np.zeros((0, 12))
+    out, todo = [], [np.arange(n)]
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK:
+            out.append(own)
+            continue
+        widest = int(sums[own].var(axis=0).argmax())
+        own = own[np.argsort(sums[own, widest], kind="stable")]
+        half = -(-len(own) // (2 * BLOCK)) * BLOCK
+        todo += [own[half:], own[:half]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
 def build(ids: list[int], texts: list[str], toxic: list[bool], frequencies: Frequencies | None = None) -> Index:
     """Without ``frequencies`` the examples are all documents."""
     n, flags = len(ids), np.array(toxic, dtype=bool)
     column = pa.array(texts, pa.string())
     # by slices, for the memory that hashing takes
-    parts = [(start, *term_counts(*word_hashes(column.slice(start, stop - start)))) for start, stop in slices(column)]
+    parts = [(start, *terms_of(column.slice(start, stop - start))) for start, stop in slices(column)]
     row = np.concatenate([start + r for start, r, _, _ in parts] or [np.zeros(0, dtype=np.int64)])
     word = np.concatenate([w for _, _, w, _ in parts] or [np.zeros(0, dtype=np.uint64)])
     count = np.concatenate([c for _, _, _, c in parts] or [np.zeros(0, dtype=np.int64)])
@@ -126,9 +184,27 @@ def build(ids: list[int], texts: list[str], toxic: list[bool], frequencies: Freq
     factor = (np.log((total + 1) / (documents + 1)) + 1.0) * np.maximum(np.abs(apart), EVEN)
     weight = (1.0 + np.log(count)) * factor[at]
     norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
-    order = np.argsort(at, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(df))).astype(np.int64)
-    return Index(words, factor, starts, row[order].astype(np.int32), (weight / norm[row])[order], np.array(ids, dtype=np.int64), flags)
+    value = weight / norm[row]
+    place = np.empty(n, dtype=np.int64)
+    order = _order(row, word, value, n)
+    place[order] = np.arange(n)
+    row = place[row]
+    blocks = max(1, -(-n // BLOCK))
+    heavy = np.full(len(words), -1, dtype=np.int32)
+    often = df >= max(2, HEAVY * n)
+    heavy[often] = np.arange(int(often.sum()), dtype=np.int32)
+    sort = np.lexsort((row, at))
+    light = sort[heavy[at[sort]] < 0]
+    starts = np.searchsorted(at[light], np.arange(len(words) + 1))
+    own = sort[heavy[at[sort]] >= 0]
+    pair, entry = np.unique(row[own] // BLOCK * len(words) + heavy[at[own]], return_inverse=True)
+    dense = np.zeros((len(pair), BLOCK))
+    dense[entry, row[own] % BLOCK] = value[own]
+    spots = np.full((blocks, int(often.sum())), -1, dtype=np.int32)
+    most = np.zeros(spots.shape[::-1])
+    spots[pair // max(1, len(words)), pair % max(1, len(words))] = np.arange(len(pair), dtype=np.int32)
+    most[pair % max(1, len(words)), pair // max(1, len(words))] = dense.max(axis=1)
+    return Index(words, factor, starts, row[light].astype(np.int32), value[light], heavy, most, spots, dense, np.array(ids, dtype=np.int64)[order], flags[order])
 
 
 def _logistic(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -172,7 +248,7 @@ def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.n
         for batch in batches:
             rows += batch.num_rows
             for start, stop in slices(batch.column(0)):
-                _, word, _ = term_counts(*word_hashes(batch.column(0).slice(start, stop - start)))
+                _, word, _ = terms_of(batch.column(0).slice(start, stop - start))
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 df += np.bincount(at[known[at] == word], minlength=len(known))
         found = np.flatnonzero(df)

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+_STEM = np.uint64(0x5BD1E9955BD1E995)
 _WORD = np.zeros(256, dtype=bool)
 for _c in range(256):
     _WORD[_c] = _c >= 128 or chr(_c).isalnum() or _c == 95
@@ -81,8 +82,12 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return raw, starts, ends, np.searchsorted(starts, off - off[0])
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and each row's range of them."""
+def word_hashes(texts: pa.Array, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and each row's range of them.
+
+    After each word come, for each number of ``stems``, its first so many bytes
+    where it is longer; these hashes differ from those of words.
+    """
     raw, starts, ends, offsets = word_spans(texts)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), offsets
@@ -90,7 +95,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = np.empty(len(raw) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts]), offsets
+    words = mix64((total[ends] - total[starts]) * inverse[starts])
+    if not stems:
+        return words, offsets
+    hashes, there = np.empty((len(words), 1 + len(stems)), dtype=np.uint64), np.ones((len(words), 1 + len(stems)), dtype=bool)
+    hashes[:, 0] = words
+    for k, size in enumerate(stems, 1):
+        there[:, k] = ends - starts > size
+        stop = np.minimum(starts + size, ends)
+        hashes[:, k] = mix64(((total[stop] - total[starts]) * inverse[starts]) ^ _STEM)
+    kept = np.append(0, np.cumsum(there.ravel()))
+    return hashes[there], kept[offsets * (1 + len(stems))]
 
 
 def hash_word(word: str) -> int:

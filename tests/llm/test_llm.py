@@ -265,25 +265,54 @@ def test_mix_meets_budgets_as_sorting_would(spark):
     assert small == want and small <= large
 
 
-def test_toxic_search_is_exact():
+@pytest.mark.parametrize("heavy", [0.0, 1 / 16, 2.0])
+def test_toxic_search_is_exact(monkeypatch, heavy):
+    monkeypatch.setattr(toxicity, "HEAVY", heavy)
     r = random.Random(4)
     plain, bad = [f"w{k}" for k in range(60)], ["vile", "nasty", "foul", "crude"]
-    rows = [(k, " ".join(r.choices(plain, k=30) + (r.choices(bad, k=3) if k % 2 else [])), k % 2) for k in range(400)]
+    text = lambda k: " ".join(r.choices(plain[k % 4 * 15 :][:15] if k % 3 else plain, k=r.randint(1, 30)) + (r.choices(bad, k=3) if k % 2 else []))
+    rows = [(k, text(k), k % 2) for k in range(500)] + [(1000 + k, "w1 w2 same", 0) for k in range(30)]
     index = toxicity.build([x[0] for x in rows], [x[1] for x in rows], [bool(x[2]) for x in rows])
+    place = {int(i): k for k, i in enumerate(index.ids)}
     made = {row: (t, w) for row, t, w in index.vectors(pa.array([x[1] for x in rows]))}
     dense = np.zeros((len(rows), len(index.terms)))
     for k, (t, w) in made.items():
-        dense[k, t] = w
-    for k in list(made)[:40]:
-        cos = np.round(dense @ dense[k], 9)
-        want = sorted((-cos[j], rows[j][0]) for j in range(len(rows)) if cos[j] > 0)[: toxicity.NEAREST]
-        assert [(round(-c, 7), int(index.ids[e])) for c, e in index.nearest(*made[k])] == [(round(c, 7), i) for c, i in want]
+        dense[place[rows[k][0]], t] = w
+    for k in [*list(made)[:80], 510, 529]:
+        cos = np.round(dense @ dense[place[rows[k][0]]], 9)
+        want = sorted((-cos[place[i]], i) for i in place if cos[place[i]] > 0)[: toxicity.NEAREST]
+        got = [(round(-c, 9), int(index.ids[e])) for c, e in index.nearest(*made[k])]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([c for c, _ in got], [c for c, _ in want], atol=2e-9)
     model = toxicity.fit_rows(rows)
     fresh = [" ".join(r.choices(plain, k=30) + (r.choices(bad, k=3) if k % 2 else [])) for k in range(200)]
     flagged = {k for k, s, _ in model.judge(pa.array(fresh)) if s >= toxicity.THRESHOLD}
     assert len(flagged ^ set(range(1, 200, 2))) <= 4
 
 
+def test_toxic_search_passes_blocks_over(monkeypatch):
+    rows = [(k, f"a{k % 8}x b{k % 8}y c{k % 8}z w{k} common", k % 2) for k in range(1024)]
+    index = toxicity.build([x[0] for x in rows], [x[1] for x in rows], [bool(x[2]) for x in rows])
+    seen = []
+
+    class Place(np.ndarray):
+        def __getitem__(self, at):
+            seen.append(at)
+            return super().__getitem__(at)
+
+    object.__setattr__(index, "place", index.place.view(Place))
+    _, terms, weights = next(index.vectors(pa.array(["a3x b3y c3z common"])))
+    assert len(index.nearest(terms, weights)) == toxicity.NEAREST and len(seen) < len(index.place) / 2
+
+
+def test_toxic_stems_of_inflected_words():
+    r = random.Random(11)
+    ends = [a + b for a in "aeiou" for b in "bcdfgklmnprst"]
+    text = lambda flag: " ".join(f"w{r.randint(0, 60)}" for _ in range(30)) + (f" verdorb{r.choice(ends)}{r.choice(ends)}" * 3 if flag else f" verlieb{r.choice(ends)}{r.choice(ends)}")
+    model = toxicity.fit_rows([(k, text(k % 2), k % 2) for k in range(300)])
+    flagged = {k for k, s, _ in model.judge(pa.array([text(k % 2) for k in range(100)])) if s >= toxicity.THRESHOLD}
+    assert len(flagged & set(range(1, 100, 2))) >= 48 and len(flagged & set(range(0, 100, 2))) <= 1
+
+
 def test_toxic_words_of_a_small_language():
     r = random.Random(8)
     plain, bad = [f"w{k}" for k in range(60)], ["vile", "nasty", "foul", "crude"]
