@@ -43,89 +43,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.lockstep import Table
 from siftline.llm.wordhash import mix64, slices, term_counts, word_hashes
 
 EXAMPLES, HELD, NEAREST = 2000, 4, 15
 STEMS = (4, 6, 8)
 SMOOTH, EVEN = 0.5, 0.1
-#: Examples of a block, and the blocks that are scored first.
-BLOCK, FIRST = 64, 3
+#: Examples of a block, the blocks that are scored first, and texts that are judged together.
+BLOCK, FIRST, ROWS = 64, 3, 256
 #: A term in at least this share of the examples has postings that are skipped by blocks.
 HEAVY = 1 / 16
 PRIOR = 20.0
 THRESHOLD = 0.5
 
 
-def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, term, count)`` of the distinct terms of every row."""
-    return term_counts(*word_hashes(texts, STEMS))
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, one range after the other."""
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _key(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(1)).astype(np.int64)
+
+
+class Terms:
+    """Sorted hashes of known terms, with a table to find them in texts."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.table = Table(_key(hashes), np.arange(len(hashes), dtype=np.int32))
+
+    def __reduce__(self) -> tuple:
+        return Terms, (self.hashes,)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, term, count)`` of the known terms of every row, in order."""
+        found, offsets = word_hashes(texts, STEMS)
+        term = self.table.get(_key(found)).astype(np.int64)
+        hit = np.flatnonzero(term >= 0)
+        pair = np.sort(np.searchsorted(offsets, hit, side="right") - 1 << 32 | term[hit])
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        return pair[first] >> 32, pair[first] & 0xFFFFFFFF, np.diff(np.append(first, len(pair)))
+
+
 @dataclass(frozen=True)
 class Index:
-    terms: np.ndarray  # sorted term hashes
+    terms: Terms
     factor: np.ndarray  # of each term's weight
-    starts: np.ndarray  # of a light term k the postings from starts[k] to starts[k + 1]
+    starts: np.ndarray  # a light term k has the postings from starts[k] to starts[k + 1]
     rows: np.ndarray  # of each posting the example
     values: np.ndarray  # and the term's weight there
     heavy: np.ndarray  # the number of a heavy term, -1 of a light one
     most: np.ndarray  # of each heavy term and block the greatest weight
-    place: np.ndarray  # of each block and heavy term the row of ``dense``, -1 for none
-    dense: np.ndarray  # the weights in the examples of a block
+    dense: np.ndarray  # of each block the weights of the heavy terms in its examples
     ids: np.ndarray
     toxic: np.ndarray
 
-    def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(row, terms, weights)`` of the texts that have a term."""
-        row, word, count = terms_of(texts)
-        if not len(row) or not len(self.terms):
-            return
-        at = np.minimum(np.searchsorted(self.terms, word), len(self.terms) - 1)
-        hit = self.terms[at] == word
-        row, at, count = row[hit], at[hit], count[hit]
-        if not len(row):
-            return
-        weight = (1.0 + np.log(count)) * self.factor[at]
-        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        norm = np.sqrt(np.add.reduceat(weight * weight, starts))
-        for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(row)))):
-            yield int(row[a]), at[a:b], weight[a:b] / norm[k]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
-        """``(cosine, example)`` of the ``k`` best positive cosines, ties by the lesser id."""
-        n, blocks = len(self.ids), len(self.place)
-        size = self.starts[terms + 1] - self.starts[terms]
-        at = _ranges(self.starts[terms], size)
-        scores = np.bincount(self.rows[at], weights=self.values[at] * np.repeat(weights, size), minlength=blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
-        known = self.heavy[terms]
+    def weighted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, term, weight)``, the weights of a row of length 1."""
+        row, term, count = self.terms.counts(texts)
+        weight = (1.0 + np.log(count)) * self.factor[term]
+        norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(texts)))
+        return row, term, weight / norm[row]
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, example, cosine)`` of the ``k`` best positive cosines of each of ``count`` rows, ties by the lesser id, best first."""
+        blocks = len(self.dense)
+        size = self.starts[term + 1] - self.starts[term]
+        at = _ranges(self.starts[term], size)
+        cell = np.repeat(row * (blocks * BLOCK), size) + self.rows[at]
+        scores = np.bincount(cell, weights=self.values[at] * np.repeat(weight, size), minlength=count * blocks * BLOCK).astype(float).reshape(count, blocks, BLOCK)
+        known = self.heavy[term]
         own = known >= 0
-        known, weight = known[own], weights[own]
-        bounds = weight @ self.most[known] + scores.max(axis=1)
-        todo, rest = np.argsort(-bounds, kind="stable")[:FIRST], np.ones(blocks, dtype=bool)
-        for _ in range(2):
-            rest[todo] = False
-            for b in todo:
-                row = self.place[b, known]
-                there = row >= 0
-                scores[b] += weight[there] @ self.dense[row[there]]
-            if without >= 0:
-                scores.ravel()[without] = 0.0
-            flat = scores.ravel()
-            floor = np.partition(flat, len(flat) - k)[-k] if n > k else 0.0
-            todo = np.flatnonzero(rest & (bounds > 0) & (bounds >= floor - 2e-9))  # rounding apart
-        flat = flat.round(9)
-        near = np.flatnonzero((flat > 0) & (flat >= floor - 1e-9))
-        near = near[np.lexsort((self.ids[near], -flat[near]))[:k]]
-        return list(zip(flat[near], near.tolist()))
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        total = PRIOR + sum(1.0 / (1.05 - s) for s, _ in near)
-        return sum(1.0 / (1.05 - s) for s, e in near if self.toxic[e]) / total
+        loud = np.zeros((count, len(self.most)))
+        loud[row[own], known[own]] = weight[own]
+        bounds = loud @ self.most + scores.max(axis=2)
+        rest = bounds > 0
+        flat = scores.reshape(count, blocks * BLOCK)
+        if blocks > FIRST:
+            first = np.zeros(rest.shape, dtype=bool)
+            np.put_along_axis(first, np.argpartition(-bounds, FIRST - 1, axis=1)[:, :FIRST], True, axis=1)
+            self._add(scores, loud, first & rest)
+            floor = np.partition(flat, flat.shape[1] - k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(count)
+            rest &= ~first & (bounds >= floor[:, None] - 2e-9)  # rounding apart
+        self._add(scores, loud, rest)
+        np.round(flat, 9, out=flat)
+        floor = np.partition(flat, flat.shape[1] - k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(count)
+        r, e = np.nonzero((flat > 0) & (flat >= floor[:, None]))
+        order = np.lexsort((self.ids[e], -flat[r, e], r))
+        r, e = r[order], e[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        r, e = r[rank < k], e[rank < k]
+        return r, e, flat[r, e]
+
+    def _add(self, scores: np.ndarray, loud: np.ndarray, wanted: np.ndarray) -> None:
+        """The heavy terms' part of the scores of the wanted rows and blocks."""
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            own = np.flatnonzero(wanted[:, b])
+            scores[own, b] += loud[own] @ self.dense[b]
+
+    def votes(self, row: np.ndarray, example: np.ndarray, cosine: np.ndarray, count: int) -> np.ndarray:
+        """The share of toxic votes of each row."""
+        each = 1.0 / (1.05 - cosine)
+        return np.bincount(row, weights=each * self.toxic[example], minlength=count) / (PRIOR + np.bincount(row, weights=each, minlength=count))
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``ROWS`` texts."""
+    for start, stop in slices(texts):
+        for at in range(start, stop, ROWS):
+            yield at, min(at + ROWS, stop)
 
 
 @dataclass(frozen=True)
@@ -134,15 +161,21 @@ class Model:
     slope: float
     shift: float
 
-    def score(self, vote: float) -> float:
-        return float(1.0 / (1.0 + np.exp(-(self.slope * vote + self.shift))))
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(self.slope * votes + self.shift)))
 
-    def judge(self, texts: pa.Array) -> Iterator[tuple[int, float, list[tuple[float, int]]]]:
-        """``(row, score, neighbours)`` of the texts that have a neighbour."""
-        for start, stop in slices(texts):
-            for row, terms, weights in self.index.vectors(texts.slice(start, stop - start)):
-                if near := self.index.nearest(terms, weights):
-                    yield start + row, self.score(self.index.vote(near)), near
+    def judge(self, texts: pa.Array, least: float = 0.0) -> Iterator[tuple[int, float, list[tuple[float, int]]]]:
+        """``(row, score, neighbours)`` of the texts that have a neighbour and a score of at least ``least``."""
+        if not len(self.index.ids):
+            return
+        for start, stop in _groups(texts):
+            count = stop - start
+            row, example, cosine = self.index.nearest(*self.index.weighted(texts.slice(start, count)), count)
+            scores = self.scores(self.index.votes(row, example, cosine, count))
+            first = np.searchsorted(row, np.arange(count + 1))
+            for k in np.flatnonzero((scores >= least) & (first[1:] > first[:-1])):
+                own = slice(first[k], first[k + 1])
+                yield start + int(k), float(scores[k]), list(zip(cosine[own].tolist(), example[own].tolist()))
 
 
 #: Of sorted word hashes, the number of documents and of those with each word.
@@ -151,8 +184,10 @@ Frequencies = Callable[[np.ndarray], tuple[int, np.ndarray]]
 
 def _order(row: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """An order of the ``n`` examples in which like ones are close: halved again and again along signed sums of weights."""
-    flags = mix64(word[:, None] ^ (np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]) >> np.uint64(63)
-    sums = np.stack([np.bincount(row, weights=weight * (1.0 - 2.0 * f), minlength=n) for f in flags.T.astype(float)], axis=1) if n else np.zeros((0, 12))
+    sums = np.zeros((n, 12))
+    for k in range(12):
+        sign = 1.0 - 2.0 * (mix64(word ^ mix64(np.array([k + 1], dtype=np.uint64))) >> np.uint64(63)).astype(float)
+        sums[:, k] = np.bincount(row, weights=weight * sign, minlength=n)
     out, todo = [], [np.arange(n)]
     while todo:
         own = todo.pop()
@@ -171,10 +206,11 @@ def build(ids: list[int], texts: list[str], toxic: list[bool], frequencies: Freq
     n, flags = len(ids), np.array(toxic, dtype=bool)
     column = pa.array(texts, pa.string())
     # by slices, for the memory that hashing takes
-    parts = [(start, *terms_of(column.slice(start, stop - start))) for start, stop in slices(column)]
+    parts = [(start, *term_counts(*word_hashes(column.slice(start, stop - start), STEMS))) for start, stop in slices(column)]
     row = np.concatenate([start + r for start, r, _, _ in parts] or [np.zeros(0, dtype=np.int64)])
     word = np.concatenate([w for _, _, w, _ in parts] or [np.zeros(0, dtype=np.uint64)])
     count = np.concatenate([c for _, _, _, c in parts] or [np.zeros(0, dtype=np.int64)])
+    del parts
     words, at = np.unique(word, return_inverse=True)
     bad = np.bincount(at, weights=flags[row], minlength=len(words)) if n else np.zeros(0)
     df = np.bincount(at, minlength=len(words)).astype(float)
@@ -193,18 +229,14 @@ def build(ids: list[int], texts: list[str], toxic: list[bool], frequencies: Freq
     heavy = np.full(len(words), -1, dtype=np.int32)
     often = df >= max(2, HEAVY * n)
     heavy[often] = np.arange(int(often.sum()), dtype=np.int32)
-    sort = np.lexsort((row, at))
+    sort = np.argsort(at, kind="stable")
     light = sort[heavy[at[sort]] < 0]
     starts = np.searchsorted(at[light], np.arange(len(words) + 1))
-    own = sort[heavy[at[sort]] >= 0]
-    pair, entry = np.unique(row[own] // BLOCK * len(words) + heavy[at[own]], return_inverse=True)
-    dense = np.zeros((len(pair), BLOCK))
-    dense[entry, row[own] % BLOCK] = value[own]
-    spots = np.full((blocks, int(often.sum())), -1, dtype=np.int32)
-    most = np.zeros(spots.shape[::-1])
-    spots[pair // max(1, len(words)), pair % max(1, len(words))] = np.arange(len(pair), dtype=np.int32)
-    most[pair % max(1, len(words)), pair // max(1, len(words))] = dense.max(axis=1)
-    return Index(words, factor, starts, row[light].astype(np.int32), value[light], heavy, most, spots, dense, np.array(ids, dtype=np.int64)[order], flags[order])
+    own = np.flatnonzero(heavy[at] >= 0)
+    dense = np.zeros((blocks, int(often.sum()), BLOCK))
+    dense[row[own] // BLOCK, heavy[at[own]], row[own] % BLOCK] = value[own]
+    most = dense.max(axis=2).T.copy()
+    return Index(Terms(words), factor, starts, row[light].astype(np.int32), value[light], heavy, most, dense, np.array(ids, dtype=np.int64)[order], flags[order])
 
 
 def _logistic(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -232,9 +264,9 @@ def fit_rows(rows: list[tuple[int, str, int]], frequencies: Frequencies | None =
     check = held or train
     votes = np.zeros(len(check))
     texts = pa.array([r[1] for r in check], pa.string())
-    for start, stop in slices(texts):
-        for row, terms, weights in index.vectors(texts.slice(start, stop - start)):
-            votes[start + row] = index.vote(index.nearest(terms, weights))
+    for start, stop in _groups(texts):
+        count = stop - start
+        votes[start:stop] = index.votes(*index.nearest(*index.weighted(texts.slice(start, count)), count), count)
     return Model(index, *_logistic(votes, np.array([bool(r[2]) for r in check])))
 
 
@@ -243,14 +275,12 @@ def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.n
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        df, rows = np.zeros(len(known), dtype=np.int64), 0
+        known = Terms(shared.value)
+        df, rows = np.zeros(len(known.hashes), dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for start, stop in slices(batch.column(0)):
-                _, word, _ = terms_of(batch.column(0).slice(start, stop - start))
-                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                df += np.bincount(at[known[at] == word], minlength=len(known))
+                df += np.bincount(known.counts(batch.column(0).slice(start, stop - start))[1], minlength=len(df))
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(df[found], rows), pa.int64())], ["term", "n"])
 
@@ -281,7 +311,7 @@ def rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [(n, s, near) for n, s, near in model.judge(batch.column(1)) if s >= threshold]
+            got = list(model.judge(batch.column(1), threshold))
             why = [" ".join(f"{model.index.ids[e]}:{c:.4f}:{int(model.index.toxic[e])}" for c, e in near) for _, _, near in got]
             ids = batch.column(0).take(pa.array([n for n, _, _ in got], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([s for _, s, _ in got], pa.float64()), pa.array(why, pa.string())], ["doc_id", "score", "evidence"])
@@ -299,7 +329,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         model = shared.value
         for batch in batches:
             stay = np.ones(batch.num_rows, dtype=bool)
-            stay[[n for n, s, _ in model.judge(batch.column(at)) if s >= threshold]] = False
+            stay[[n for n, _, _ in model.judge(batch.column(at), threshold)]] = False
             yield batch.filter(pa.array(stay))
 
     return docs.mapInArrow(keep, docs.schema)
