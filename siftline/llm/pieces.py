@@ -49,7 +49,7 @@ REMEMBERED = 100_000
 #: Characters of the longest part that is encoded in lockstep with others.
 LONG = 96
 #: Bytes of text in a slice; the larger, the more parts are met again.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _loaded: dict[str, Pieces] = {}
@@ -274,6 +274,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=null)
                 exact = pa.array(model.exact(own, flat, offsets), pa.bool_(), mask=null.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), lists, exact, *(c.slice(start, stop - start) for c in rest)], names)
+            pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType()), *[T.StructField(c, docs.schema[c].dataType) for c in keep]])

@@ -50,7 +50,7 @@ EXAMPLES, HELD, NEAREST = 2000, 4, 15
 STEMS = (4, 6, 8)
 SMOOTH, EVEN = 0.5, 0.1
 #: Examples of a block, the blocks that are scored first, and texts that are judged together.
-BLOCK, FIRST, ROWS = 64, 3, 256
+BLOCK, FIRST, ROWS = 64, 3, 96
 #: A term in at least this share of the examples has postings that are skipped by blocks.
 HEAVY = 1 / 16
 PRIOR = 20.0
@@ -59,7 +59,9 @@ THRESHOLD = 0.5
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, one range after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _key(hashes: np.ndarray) -> np.ndarray:
@@ -111,8 +113,12 @@ class Index:
         blocks = len(self.dense)
         size = self.starts[term + 1] - self.starts[term]
         at = _ranges(self.starts[term], size)
-        cell = np.repeat(row * (blocks * BLOCK), size) + self.rows[at]
-        scores = np.bincount(cell, weights=self.values[at] * np.repeat(weight, size), minlength=count * blocks * BLOCK).astype(float).reshape(count, blocks, BLOCK)
+        cell = np.repeat((row * (blocks * BLOCK)).astype(np.int32), size)
+        cell += self.rows[at]
+        value = self.values[at]
+        value *= np.repeat(weight, size)
+        scores = np.bincount(cell, weights=value, minlength=count * blocks * BLOCK).astype(float, copy=False).reshape(count, blocks, BLOCK)
+        del at, cell, value
         known = self.heavy[term]
         own = known >= 0
         loud = np.zeros((count, len(self.most)))
@@ -176,6 +182,7 @@ class Model:
             for k in np.flatnonzero((scores >= least) & (first[1:] > first[:-1])):
                 own = slice(first[k], first[k + 1])
                 yield start + int(k), float(scores[k]), list(zip(cosine[own].tolist(), example[own].tolist()))
+        pa.default_memory_pool().release_unused()
 
 
 #: Of sorted word hashes, the number of documents and of those with each word.
