@@ -12,10 +12,16 @@ def live(postings: DataFrame, updates: DataFrame) -> DataFrame:
     return postings.join(newest, "doc_id", "left").where("ug is null or gen >= ug").drop("ug")
 
 
-def merged(postings: DataFrame, updates: DataFrame, gen: int) -> DataFrame:
-    """Live postings as one generation; of a (term, document) in several the newest wins."""
-    newest = Window.partitionBy("term", "doc_id").orderBy(F.desc("gen"))
-    kept = live(postings, updates).withColumn("rank", F.row_number().over(newest)).where("rank = 1").drop("rank")
+def merged(postings: DataFrame, updates: DataFrame, gen: int, unique: bool = False) -> DataFrame:
+    """Live postings as one generation; of a (term, document) in several the newest wins.
+
+    With ``unique`` the caller vouches that each document is live in one
+    generation only (as in a ``Store``, which replaces), and nothing is shuffled.
+    """
+    kept = live(postings, updates)
+    if not unique:
+        rest = [c for c in kept.columns if c not in ("term", "doc_id", "gen")]
+        kept = kept.groupBy("term", "doc_id").agg(F.max_by(F.struct(*rest), "gen").alias("row")).select("term", "doc_id", "row.*")
     return kept.withColumn("gen", F.lit(gen).cast("long"))
 
 

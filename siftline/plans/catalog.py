@@ -9,13 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import scalars as X
 from siftline.functions import text as T
 from siftline.operators import generations as G
 from siftline.operators import percolate as P
 from siftline.operators import suggest as S
-from siftline.plans.compiler import Plan
-from siftline.plans.nodes import And, AndNot, AtLeast, Leaf, Node, Or, Phrase, Term, children, parse, terms_of
+from siftline.plans import instances as I
+from siftline.plans.compiler import Plan, Scorer, within
+from siftline.plans.nodes import And, AndNot, AtLeast, Leaf, Node, Or, Phrase, Term, parse
 from siftline.plans.rewrite import from_rules, rewrite
+from siftline.sources.collection import Collection, Documents, Masks
+from siftline.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,18 +38,6 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents")
 
 
-def posted(spark: SparkSession, sf: str, node: Node) -> DataFrame:
-    """Postings of the query's terms; positions only if it has a phrase."""
-    phrased = any(isinstance(n, Phrase) for n in _all(node))
-    return T.postings(T.hits(docs(spark, sf), terms_of(node)), phrased)
-
-
-def _all(node: Node):
-    yield node
-    for c in children(node):
-        yield from _all(c)
-
-
 def add(name: str, sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -71,7 +63,7 @@ def ids(name: str, query: str | Node, sql: str) -> None:
 
     @add(name, f"WITH {H} {sql}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return Plan(node, posted(spark, sf, node), docs(spark, sf)).ids()
+        return Plan.over(node, docs(spark, sf)).ids()
 
 
 ids("term_docs", "the", "SELECT DISTINCT doc_id FROM h WHERE term = 'the'")
@@ -94,38 +86,38 @@ ids("nested_bool", '(("of the") OR (is AND was)) NOT les', f"(({phrase_sql('of',
 @add("optional_left", f"WITH {PQ} SELECT a.doc_id, a.freq AS of_freq, coalesce(b.freq, 0) AS the_freq FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.term = 'the' WHERE a.term = 'of'")
 def optional_left(spark, sf):
     node = parse("of <the>")
-    plan = Plan(node, posted(spark, sf, node))
+    plan = Plan.over(node, docs(spark, sf))
     return plan.table().where(plan.match(plan.node)).select("doc_id", plan.count(Term("of")).alias("of_freq"), F.coalesce(plan.count(Term("the")), F.lit(0)).alias("the_freq"))
 
 
 @add("phrase_count", f"WITH {H} {phrase_sql('of', 'the', what='a.doc_id, CAST(count(*) AS INTEGER) AS n')} GROUP BY a.doc_id")
 def phrase_count(spark, sf):
     node = Phrase(("of", "the"))
-    plan = Plan(node, posted(spark, sf, node))
+    plan = Plan.over(node, docs(spark, sf))
     return plan.table().select("doc_id", plan.count(node).alias("n")).where("n > 0")
 
 
 @add("range_span", f"WITH {H} SELECT DISTINCT doc_id FROM h WHERE term = 'the' AND doc_id >= 100 AND doc_id < 100000")
 def range_span(spark, sf):
-    return T.hits(docs(spark, sf).where("doc_id >= 100 and doc_id < 100000"), ["the"]).select("doc_id").distinct()
+    return Plan.over(Term("the"), within(docs(spark, sf), 100, 100000)).ids()
 
 
 @add("id_list", f"WITH {H} {has('the')} INTERSECT SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 89])")
 def id_list(spark, sf):
     node = And((Term("the"), Leaf("ids")))
     listed = spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)], "doc_id long")
-    return Plan(node, posted(spark, sf, node), docs(spark, sf), {"ids": listed}).ids()
+    return Plan.over(node, docs(spark, sf), {"ids": listed}).ids()
 
 
 @add("app_docset", f"WITH {H} {has('of')} EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def app_docset(spark, sf):
     node = AndNot(Term("of"), Leaf("toxic"))
-    return Plan(node, posted(spark, sf, node), named={"toxic": read(spark, sf, "labels").where("toxic = 1")}).ids()
+    return Plan.over(node, docs(spark, sf), {"toxic": read(spark, sf, "labels").where("toxic = 1")}).ids()
 
 
 @add("doc_filter", f"WITH {H} SELECT DISTINCT h.doc_id FROM h JOIN documents USING (doc_id) WHERE term = 'the' AND lang = 'en' AND n_chars < 2000")
 def doc_filter(spark, sf):
-    return T.hits(docs(spark, sf).where("lang = 'en' and n_chars < 2000"), ["the"]).select("doc_id").distinct()
+    return Plan.over(Term("the"), docs(spark, sf), where="lang = 'en' and n_chars < 2000").ids()
 
 
 @add("special_token", f"WITH {H} {has('la')} INTERSECT SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'")
@@ -150,9 +142,11 @@ def field_stats(spark, sf):
     return T.field_stats(T.postings(T.hits(docs(spark, sf)), False))
 
 
-@add("doc_field_stats", f"WITH {PQ} SELECT doc_id, count(*) AS terms, max(freq) AS max_freq, CAST(sum(freq) AS BIGINT) AS hits FROM p GROUP BY doc_id")
+@add("doc_field_stats", f"""WITH {PQ}, s AS (SELECT doc_id, count(*) AS terms, max(freq) AS max_freq, CAST(sum(freq) AS BIGINT) AS hits FROM p GROUP BY doc_id)
+SELECT doc_id, terms + CAST(lang IS NOT NULL AS INTEGER) + CAST(source IS NOT NULL AS INTEGER) AS terms, CAST(max_freq AS BIGINT) AS max_freq, hits + CAST(lang IS NOT NULL AS INTEGER) + CAST(source IS NOT NULL AS INTEGER) AS hits, hits AS positional_hits, CAST(0 AS BIGINT) AS overlaps FROM s JOIN d USING (doc_id)""")
 def doc_field_stats(spark, sf):
-    return T.postings(T.hits(docs(spark, sf)), False).groupBy("doc_id").agg(F.count("*").alias("terms"), F.max("freq").alias("max_freq"), F.sum("freq").alias("hits"))
+    d = docs(spark, sf)
+    return T.doc_stats(T.hits(d).unionByName(T.specials(d))).where("positional_hits > 0")
 
 
 @add("terms_dict", f"WITH {PQ} SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM p GROUP BY term")
@@ -182,15 +176,7 @@ def scored(name: str, query: str, kind: str, sql: str) -> None:
 
     @add(name, f"WITH {PQ} {sql}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = docs(spark, sf)
-        terms = terms_of(node)
-        phrased = any(isinstance(n, Phrase) for n in _all(node))
-        plan = Plan(node, T.postings(T.hits(d, terms), phrased), total=None if kind == "trivial" else total_docs(d))
-        return plan.scored(kind).select("doc_id", F.round("score", 6).alias("score"))
-
-
-def total_docs(d: DataFrame) -> int:
-    return d.where(F.size(T.tokens(F.col("text"))) > 0).select("doc_id").distinct().count()
+        return Plan.over(node, docs(spark, sf)).scored(kind).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _SUM = "SELECT doc_id, round(sum(s), 6) AS score FROM ({}) GROUP BY doc_id"
@@ -213,15 +199,58 @@ def topk_bm25(spark, sf):
 @add("rich_match", f"WITH {PQ}, ps AS (SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM h WHERE term IN ('of', 'the') GROUP BY doc_id, term) SELECT doc_id, term, freq, positions FROM p JOIN ps USING (doc_id, term) WHERE doc_id IN (({has('of')} INTERSECT {has('the')}) EXCEPT {has('was')})")
 def rich_match(spark, sf):
     node = parse("(of the) NOT was")
-    rich = Plan(node, T.postings(T.hits(docs(spark, sf), terms_of(node)))).rich()
+    rich = Plan.over(node, docs(spark, sf)).rich()
     return rich.withColumn("positions", F.concat_ws(",", F.col("positions").cast("array<string>")))
 
 
-@add("query_index_terms", "SELECT * FROM (VALUES (0, 'world', 1), (1, 'of', 1), (2, 'warcraft', 1), (3, 'mists', 1), (4, 'of', 1), (5, 'pandaria', 0)) v(slot, term, to_next_span)")
+_SLOTTED = '(world of "warcraft mists") OR (of of pandaria) NOT spam'
+
+
+@add("query_index_terms", "SELECT * FROM (VALUES (0, 'world', 1, 0), (1, 'of', 1, 0), (2, 'warcraft', 1, 0), (3, 'mists', 1, 0), (4, 'of', 1, 0), (5, 'pandaria', 0, 0)) v(slot, term, to_next_span, flags)")
 def query_index_terms(spark, sf):
-    words = "world of warcraft mists of pandaria".split()
-    rows = [(k, w, 1 if k + 1 < len(words) else 0) for k, w in enumerate(words)]
-    return spark.createDataFrame(rows, "slot int, term string, to_next_span int")
+    return I.index_terms(I.table(spark, I.instances(_SLOTTED)))
+
+
+@add("rich_instances", f"WITH {PQ}, i AS (SELECT * FROM (VALUES ('of', '0:1:1:0,2:1:1:1'), ('the', '1:1:1:0,3:1:0:1')) v(term, instances)) SELECT doc_id, term, freq, instances FROM p JOIN i USING (term) WHERE doc_id IN (({phrase_sql('of', 'the')}) EXCEPT {has('was')})")
+def rich_instances(spark, sf):
+    query = '((of the) "of the") NOT was'
+    rich = I.annotated(Plan.over(parse(query), docs(spark, sf)).rich(), I.table(spark, I.instances(query)))
+    each = F.transform("instances", lambda i: F.concat_ws(":", i["slot"], i["rep"], i["to_next_span"], i["phrase_id"]))
+    return rich.select("doc_id", "term", "freq", F.concat_ws(",", each).alias("instances"))
+
+
+@add("matches_counter", f"WITH {H} SELECT doc_id, count(DISTINCT term) AS matched FROM h WHERE term IN ('the', 'of', 'que') GROUP BY doc_id")
+def matches_counter(spark, sf):
+    return Plan.over(parse("the OR of OR que"), docs(spark, sf)).counted().select("doc_id", F.col("matched").cast("long").alias("matched"))
+
+
+@add("payload_hits", f"WITH {H} SELECT doc_id, CAST(count(*) AS INTEGER) AS freq, CAST(sum(pos * 3) AS BIGINT) AS total FROM h WHERE term = 'the' GROUP BY doc_id")
+def payload_hits(spark, sf):
+    """Each hit has three times its position as a payload of four bytes."""
+    found = T.postings(T.hits(docs(spark, sf), ["the"], payload=lambda t, p: T.fixed(p * 3, 4)))
+    total = F.aggregate("payloads", F.lit(0).cast("long"), lambda a, x: a + T.number(x))
+    return found.select("doc_id", "freq", total.alias("total"))
+
+
+@add("own_tokenizer", "WITH h AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS term FROM documents) SELECT doc_id, CAST(count(*) AS INTEGER) AS freq FROM h WHERE term = 'The' GROUP BY doc_id")
+def own_tokenizer(spark, sf):
+    """Words between white space as they are written."""
+    plan = Plan.over(Term("The"), docs(spark, sf), tokenize=lambda text: F.split(text, "[ \\t\\n\\r]+"))
+    return plan.table().where(plan.match(plan.node)).select("doc_id", plan.count(Term("The")).alias("freq"))
+
+
+@add("own_scorer", f"WITH {PQ} SELECT doc_id, round(sum(2 * sqrt(CAST(freq AS DOUBLE))), 6) AS score FROM p WHERE term IN ('the', 'of') GROUP BY doc_id")
+def own_scorer(spark, sf):
+    twice = Scorer(lambda f, w: F.sqrt(f.cast("double")) * w, lambda n, df: F.lit(2.0))
+    return Plan.over(parse("the OR of"), docs(spark, sf)).scored(twice).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@add("collection_search", f"WITH {H} ({has('the')} EXCEPT SELECT doc_id FROM labels WHERE toxic = 1) UNION SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE quality = 0 AND toxic = 0 AND text IS NOT NULL")
+def collection_search(spark, sf):
+    """All documents, revisions of those of low quality that begin with 'the', and erasure of the toxic ones."""
+    d, labels = docs(spark, sf), read(spark, sf, "labels")
+    revised = d.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the "), "text"))
+    return Collection({1: Documents(d), 2: Documents(revised, replacing=True), 3: Masks(labels.where("toxic = 1"))}).plan("the").ids()
 
 
 _GENS = f"""WITH d1 AS (SELECT doc_id, text, 1 AS gen FROM documents), d2 AS (SELECT doc_id, concat('revised ', text) AS text, 2 AS gen FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
@@ -282,6 +311,60 @@ def docid_translate(spark, sf):
     return G.translated(T.postings(T.hits(d, ["the"]), False), d.select(F.col("doc_id").alias("local_id"), (F.col("doc_id") + 1000000).alias("global_id")).distinct())
 
 
+def shared(spark: SparkSession) -> str:
+    """A folder of its own under the session's checkpoint folder; a temporary one only within this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="siftline-")
+    return f"{root}/siftline-{uuid.uuid4().hex}"
+
+
+_STORES: dict[tuple[str, str, int], Store] = {}
+
+
+def stored(spark: SparkSession, sf: str, generations: int) -> Store:
+    """An index of the documents, built once a session: of one generation, or of the three of ``gens`` compacted."""
+    key = (spark.sparkContext.applicationId, sf, generations)
+    if key not in _STORES:
+        store, d, labels = Store(spark, shared(spark)), docs(spark, sf), read(spark, sf, "labels")
+        store.commit(1, added=d)
+        if generations > 1:
+            revised = d.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("revised "), "text"))
+            store.commit(2, replaced=revised)
+            store.commit(3, erased=labels.where("toxic = 1").select("doc_id"))
+            store = store.compact(4, shared(spark))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@add("store_search", f"WITH {H} (({phrase_sql('of', 'the')}) UNION ({has('is')} INTERSECT {has('was')})) EXCEPT {has('les')}")
+def store_search(spark, sf):
+    return stored(spark, sf, 1).plan('(("of the") OR (is AND was)) NOT les').ids()
+
+
+@add("store_complement", f"WITH {H} SELECT DISTINCT doc_id FROM documents EXCEPT {has('the')}")
+def store_complement(spark, sf):
+    return stored(spark, sf, 1).plan("NOT the").ids()
+
+
+@add("store_scored", f"WITH {PQ} {_SUM.format(_OR3)}")
+def store_scored(spark, sf):
+    return stored(spark, sf, 1).plan("the OR of OR that").scored("bm25").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@add("store_terms", f"WITH {PQ} SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM p GROUP BY term")
+def store_terms(spark, sf):
+    return stored(spark, sf, 1).terms(raw=True)
+
+
+@add("store_after_compact", f"{_GENS} SELECT doc_id, freq FROM live WHERE term = 'revised'")
+def store_after_compact(spark, sf):
+    return stored(spark, sf, 3).postings().where("term = 'revised'").select("doc_id", "freq")
+
+
 _SLOTS = ("the", "of", "was", "que", "der")
 _MASK = "+".join(f"max(CASE WHEN term = '{t}' THEN {1 << k} ELSE 0 END)" for k, t in enumerate(_SLOTS))
 _MASKS = f"WITH {H}, o AS (SELECT doc_id, CAST({_MASK} AS BIGINT) AS mask FROM h WHERE term IN {_SLOTS} GROUP BY doc_id), m AS (SELECT mask, count(*) AS cnt FROM o GROUP BY mask)"
@@ -314,6 +397,12 @@ def rewritten(name: str, query: str, rules: dict[tuple[str, ...], list[str]], sq
     ids(name, rewrite(parse(query), from_rules(rules)), sql)
 
 
+@add("alternatives_detail", f"{_MASKS}, n AS (SELECT * FROM m WHERE mask <> 31), x AS ({_MAXIMAL.format('n')}) SELECT mask, cnt, concat_ws('+', {_NAMES}) AS tokens, CAST(list_min([k FOR k IN range(5) IF (mask & (1 << k)) <> 0]) AS INTEGER) AS first_bit FROM x ORDER BY bit_count(mask) DESC, cnt DESC, mask LIMIT 5")
+def alternatives_detail(spark, sf):
+    node = parse(" ".join(_SLOTS))
+    return S.sub_queries(node, slot_postings(spark, sf)).select("mask", "cnt", F.concat_ws("+", "tokens").alias("tokens"), "first_bit")
+
+
 rewritten("rewrite_synonyms", "the was", {("was",): ["is", "of"]}, f"{has('the')} INTERSECT ({has('was')} UNION {has('is')} UNION {has('of')})")
 rewritten("rewrite_segmentation", "of the is", {("of", "the"): ['"of the"', "that"], ("is",): ["que"]}, f"(({has('of')} INTERSECT {has('the')}) UNION {phrase_sql('of', 'the')} UNION {has('that')}) INTERSECT ({has('is')} UNION {has('que')})")
 
@@ -333,12 +422,28 @@ def percolate_phrases(spark, sf):
     return P.percolate_phrases(docs(spark, sf), read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+_MANY = """SELECT n * 3 AS query_id, w AS one, NULL AS two FROM v UNION ALL SELECT n * 3 + 1, w, nxt FROM v WHERE nxt IS NOT NULL UNION ALL SELECT n * 3 + 2, w, NULL FROM v"""
+
+
+@add("percolate_many", f"""WITH {H}, o AS (SELECT DISTINCT term FROM h WHERE length(term) >= 4), v AS (SELECT term AS w, row_number() OVER (ORDER BY term) - 1 AS n, lead(term) OVER (ORDER BY term) AS nxt FROM o QUALIFY n < 400),
+ q AS ({_MANY}), k AS (SELECT DISTINCT doc_id, term FROM h)
+SELECT DISTINCT k.doc_id, q.query_id FROM q JOIN k ON k.term = q.one WHERE query_id % 3 = 0 UNION ALL
+SELECT k.doc_id, q.query_id FROM q JOIN k ON k.term = q.one JOIN k l ON l.doc_id = k.doc_id AND l.term = q.two WHERE query_id % 3 = 1 UNION ALL
+SELECT k.doc_id, q.query_id FROM q JOIN k ON k.term = q.one WHERE query_id % 3 = 2 AND k.doc_id NOT IN (SELECT doc_id FROM h WHERE term = 'the')""")
+def percolate_many(spark, sf):
+    """1200 stored queries as a table: for each of the first 400 words of four letters or more the word, it with the next one, and it without 'the'."""
+    d = docs(spark, sf)
+    found = d.select(F.explode(T.tokens(F.col("text"))).alias("w")).where("length(w) >= 4").distinct().orderBy("w").limit(401)
+    words = [r.w for r in found.collect()]  # of a fixed number
+    rows = [(3 * k + j, q) for k, w in enumerate(words[:400]) for j, q in enumerate((w, f"{w} {words[k + 1]}" if k + 1 < len(words) else None, f"{w} NOT the")) if q]
+    return P.percolate_table(d, spark.createDataFrame(rows, "query_id long, query string"))
+
+
 @add("percolate_stream", _STORED_SQL)
 def percolate_stream(spark, sf):
     from siftline.streaming.percolator import percolate_stream as stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-stream-")
-    base = f"{root}/percolate-{uuid.uuid4().hex}"
+    base = shared(spark)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     return stream(spark, f"{sf}/documents.parque?", schema, {k: parse(q) for k, q in _STORED.items()}, f"{base}/out", f"{base}/state")
 
@@ -347,3 +452,15 @@ def percolate_stream(spark, sf):
 def scalar_text(spark, sf):
     t = T.hits(docs(spark, sf)).select("term").distinct()
     return t.select("term", F.startswith("term", F.lit("th")).alias("starts"), F.length("term").cast("long").alias("n_chars"), F.substring("term", 1, 3).alias("head"), F.bit_count(F.length("term")).cast("int").alias("bits"), F.col("term").rlike("^[0-9]+$").alias("digits"), F.base64(F.encode("term", "UTF-8")).alias("coded"))
+
+
+@add("scalar_more", f"""WITH {H}, t AS (SELECT DISTINCT term FROM h) SELECT term, ends_with(term, 'ing') AS ends, CAST(instr(term, 'e') - 1 AS INTEGER) AS first_e, CASE WHEN contains(term, 'e') THEN string_split(term, 'e')[1] ELSE term END AS head,
+ CAST(len(string_split(term, 'e')) AS INTEGER) AS parts, rtrim(term, 's') AS bare, CASE WHEN regexp_full_match(term, '[0-9]{{1,9}}') THEN CAST(term AS DECIMAL(38, 0)) < 4294967296 END AS small,
+ CASE WHEN starts_with(term, 'th') THEN substring(term, 3) ELSE term END AS cut, format('{{:,}}', length(term) * 1234567) AS dotted, strftime(make_timestamp(CAST(length(term) AS BIGINT) * 100000000000), '%Y-%m-%d %H:%M:%S') AS at FROM t""")
+def scalar_more(spark, sf):
+    t, term = T.hits(docs(spark, sf)).select("term").distinct(), F.col("term")
+    small = F.when(term.rlike("^[0-9]{1,9}$"), X.as_unsigned(term).isNotNull())
+    return t.select(
+        "term", X.ends_with(term, "ing").alias("ends"), X.search(term, "e").alias("first_e"), X.prefix_up_to(term, "e").alias("head"), F.size(X.split(term, "e")).alias("parts"), X.strip_trailing(term, "s").alias("bare"), small.alias("small"),
+        X.strip_prefix(term, "th").alias("cut"), X.dotted(F.length(term) * 1234567).alias("dotted"), X.time_repr(F.length(term) * 100000).alias("at"),
+    )

@@ -1,71 +1,130 @@
 """Query trees to one lazy DataFrame.
 
-All leaves of a query are answered by one scan and one aggregation: postings of
-the query's terms are grouped by document with a frequency (and, for phrases,
-positions) for each term, and the tree becomes one boolean and one score
-expression.  Only a query that can match a document without any of its terms
-is joined to the live documents.
+``Plan`` answers all leaves of a query in one pass: every document that may
+match gets a frequency (and, for phrases, positions) for each term, and the tree
+becomes one boolean and one score expression.  Over documents these come from
+the document's own row, with no shuffle, and only of documents whose text holds
+the words at all; over postings from one aggregation.  Only a query that can
+match a document without any of its terms is joined to the live documents.
+
+Statistics for scores are a one-row subquery of the same plan (or the index's
+own tables), so that building a plan runs nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import tokens
 from siftline.plans.nodes import And, AndNot, AtLeast, Const, Leaf, Maybe, Node, Not, Or, Phrase, Term, leaves, simplify, terms_of
 
-Scorer = Callable[[Column, float], Column]
+#: Terms of a query up to which documents are read by their rows; beyond, their tokens are posted and aggregated.
+IN_ROW = 64
 
 
-def trivial(freq: Column, weight: float) -> Column:
-    return freq.cast("double")
+@dataclass(frozen=True)
+class Scorer:
+    """``score(frequency, weight)`` of a leaf, where ``weight`` is the sum over its terms of ``weigh(documents, documents with the term)``."""
 
+    score: Callable[[Column, Column], Column]
+    weigh: Callable[[Column, Column], Column]
+    weighted: bool = True
 
-def tfidf(freq: Column, weight: float) -> Column:
-    return F.sqrt(freq.cast("double")) * F.lit(weight)
 
+def _double(c: Column) -> Column:
+    return c.cast("double")
 
-def bm25(freq: Column, weight: float) -> Column:
-    return F.lit(weight) * (freq.cast("double") / (freq.cast("double") + F.lit(1.2)))
 
+#: Others may be added, or given to ``scored`` as they are.
+SCORERS: dict[str, Scorer] = {
+    "trivial": Scorer(lambda f, w: _double(f), lambda n, df: F.lit(1.0), weighted=False),
+    "tfidf": Scorer(lambda f, w: F.sqrt(_double(f)) * w, lambda n, df: F.log((_double(n) + 1.0) / (_double(df) + 1.0)) + 1.0),
+    "bm25": Scorer(lambda f, w: w * (_double(f) / (_double(f) + 1.2)), lambda n, df: F.log(1.0 + (_double(n) - _double(df) + 0.5) / (_double(df) + 0.5))),
+}
 
-def tfidf_weight(docs: int, df: int) -> float:
-    import math
 
-    return math.log((docs + 1.0) / (df + 1.0)) + 1.0
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts)
 
 
-def bm25_weight(docs: int, df: int) -> float:
-    import math
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
 
-    return math.log(1.0 + (docs - df + 0.5) / (df + 0.5))
 
+def _places(toks: Column, term: str) -> Column:
+    """The positions of ``term``, from 1."""
+    return F.filter(F.transform(toks, lambda x, i: F.when(x == term, i + 1)), lambda x: x.isNotNull())
 
-SCORERS: dict[str, tuple[Scorer, Callable[[int, int], float]]] = {"trivial": (trivial, lambda n, df: 1.0), "tfidf": (tfidf, tfidf_weight), "bm25": (bm25, bm25_weight)}
+
+def _hints(node: Node, text: Column) -> Column | None:
+    """A cheap condition that a matching text surely meets: it holds the words as they are written. None for no such."""
+    if isinstance(node, Term):
+        return text.contains(node.text)
+    if isinstance(node, Phrase):
+        return _all([text.contains(t) for t in dict.fromkeys(node.terms)])
+    if isinstance(node, And):
+        own = [h for p in node.parts if not isinstance(p, Maybe) and (h := _hints(p, text)) is not None]
+        return _all(own) if own else None
+    if isinstance(node, (Or, AtLeast)):
+        if isinstance(node, AtLeast) and node.least < 1:
+            return None
+        own = [_hints(p, text) for p in node.parts]
+        return None if not own or any(h is None for h in own) else _any(own)
+    if isinstance(node, AndNot):
+        return _hints(node.keep, text)
+    return _hints(node.part, text) if isinstance(node, Maybe) else None
 
 
 class Plan:
-    """``ids()``, ``scored()`` and ``rich()`` of one query over ``(term, doc_id, freq, positions)``.
+    """``ids()``, ``scored()``, ``rich()`` and others of one query.
 
-    ``total`` is the number of documents, needed where ``postings`` holds the query's terms alone.
+    ``postings`` is ``(term, doc_id, freq[, positions])``.  ``docs`` are the live
+    documents, needed where a document may match without a term.  ``named`` has
+    the application's own sets of documents.  ``stats`` has ``(term, df)`` and the
+    number of documents, if known.  See ``over`` for plans without postings.
     """
 
-    def __init__(self, node: Node, postings: DataFrame, docs: DataFrame | None = None, named: Mapping[str, DataFrame] | None = None, total: int | None = None) -> None:
-        self.total = total
+    def __init__(
+        self, node: Node, postings: DataFrame | None, docs: DataFrame | None = None, named: Mapping[str, DataFrame] | None = None,
+        total: int | None = None, stats: tuple[DataFrame, DataFrame] | None = None,
+    ) -> None:
         self.node, self.postings, self.docs, self.named = simplify(node), postings, docs, dict(named or {})
+        self.total, self.stats = total, stats
         self.terms = terms_of(self.node)
         self.at = {t: k for k, t in enumerate(self.terms)}
         self.phrased = {t for n in leaves(self.node) if isinstance(n, Phrase) for t in n.terms}
+        self.rows: DataFrame | None = None
+        self.plain = False
+
+    @classmethod
+    def over(
+        cls, node: Node, docs: DataFrame, named: Mapping[str, DataFrame] | None = None, tokenize: Callable[[Column], Column] = tokens,
+        id_col: str = "doc_id", text_col: str = "text", where: Column | str | None = None,
+    ) -> Plan:
+        """A plan that reads documents of distinct ids by their rows; ``where`` chooses among them before any is tokenised."""
+        chosen = docs if where is None else docs.where(where)
+        rows = chosen.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        plan = cls(node, None, rows, named)
+        plan.plain = tokenize is tokens  # then a term is written in the lower-cased text
+        if len(plan.terms) > IN_ROW:
+            found = rows.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("at", "term")).where(F.col("term").isin(plan.terms))
+            plan.postings = found.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("freq"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+            plan.total = None
+        plan.rows = rows.withColumn("toks", tokenize(F.col("text")))
+        return plan
 
     def _alone(self, node: Node) -> bool:
         """Whether ``node`` can match a document that has none of the query's terms."""
         if isinstance(node, Const):
             return node.value
         if isinstance(node, And):
-            return all(self._alone(p) for p in node.parts if not isinstance(p, Maybe)) and not all(isinstance(p, Maybe) for p in node.parts)
+            needed = [p for p in node.parts if not isinstance(p, Maybe)]
+            return all(map(self._alone, needed)) if needed else any(map(self._alone, node.parts))
         if isinstance(node, Or):
             return any(map(self._alone, node.parts))
         if isinstance(node, Not):
@@ -76,25 +135,44 @@ class Plan:
             return sum(map(self._alone, node.parts)) >= node.least
         return self._alone(node.part) if isinstance(node, Maybe) else isinstance(node, Leaf)
 
-    def table(self) -> DataFrame:
-        """A row for each document that may match, with ``f<k>`` and ``p<k>`` of each term."""
-        aggs = []
-        for t, k in self.at.items():
-            aggs.append(F.max(F.when(F.col("term") == t, F.col("freq"))).alias(f"f{k}"))
-            if t in self.phrased:
-                aggs.append(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}"))
-        found = self.postings.where(F.col("term").isin(self.terms)).groupBy("doc_id").agg(*aggs) if aggs else None
-        if self._alone(self.node):
-            if self.docs is None:
-                raise ValueError("this query needs the live documents")
-            live = self.docs.select("doc_id").distinct()
-            found = live if found is None else live.join(found, "doc_id", "left")
-        elif found is None:
-            found = self.postings.select("doc_id").limit(0)
+    def table(self, every: bool = False) -> DataFrame:
+        """A row for each document that may match (``every``: for each that has a term), with ``f<k>`` and ``p<k>`` of each term."""
+        if self.rows is not None and self.postings is None:
+            found = self._from_rows(every)
+        else:
+            aggs = []
+            for t, k in self.at.items():
+                aggs.append(F.max(F.when(F.col("term") == t, F.col("freq"))).alias(f"f{k}"))
+                if t in self.phrased:
+                    aggs.append(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}"))
+            found = self.postings.where(F.col("term").isin(self.terms)).groupBy("doc_id").agg(*aggs) if aggs else None
+            if not every and self._alone(self.node):
+                if self.docs is None:
+                    raise ValueError("this query needs the live documents")
+                live = self.docs.select("doc_id").distinct()
+                found = live if found is None else live.join(found, "doc_id", "left")
+            elif found is None:
+                found = (self.postings if self.postings is not None else self.docs).select("doc_id").limit(0)
         for name in dict.fromkeys(n.name for n in leaves(self.node) if isinstance(n, Leaf)):
             found = found.join(self.named[name].select("doc_id").distinct().withColumn(f"leaf_{name}", F.lit(True)), "doc_id", "left")
         return found
 
+    def _from_rows(self, every: bool) -> DataFrame:
+        rows = self.rows
+        if not every and not self._alone(self.node):
+            hint = _hints(self.node, F.lower("text")) if self.plain else None
+            rows = rows.where(hint) if hint is not None else rows
+        toks = F.col("toks")
+        cols = []
+        for t, k in self.at.items():
+            freq = F.size(toks) - F.size(F.array_remove(toks, t))
+            cols.append(F.when(freq > 0, freq).alias(f"f{k}"))
+            if t in self.phrased:
+                cols.append(F.when(F.array_contains(toks, t), _places(toks, t)).alias(f"p{k}"))
+        if every:
+            rows = rows.where(F.size(toks) > 0)
+        return rows.select("doc_id", *cols)
+
     def count(self, node: Phrase | Term) -> Column:
         """Occurrences of a leaf in a document; null or 0 for none."""
         if isinstance(node, Term):
@@ -102,11 +180,10 @@ class Plan:
         first, rest = node.terms[0], node.terms[1:]
 
         def here(x: Column) -> Column:
-            return reduce(lambda a, b: a & b, [F.array_contains(F.col(f"p{self.at[t]}"), x + k) for k, t in enumerate(rest, 1)], x > 0)
+            return _all([x > 0, *(F.array_contains(F.col(f"p{self.at[t]}"), x + k) for k, t in enumerate(rest, 1))])
 
         sized = F.size(F.filter(F.col(f"p{self.at[first]}"), here))
-        missing = reduce(lambda a, b: a | b, [F.col(f"p{self.at[t]}").isNull() for t in set(node.terms)])
-        return F.when(missing, 0).otherwise(sized)
+        return F.when(_any([F.col(f"p{self.at[t]}").isNull() for t in dict.fromkeys(node.terms)]), 0).otherwise(sized)
 
     def match(self, node: Node) -> Column:
         if isinstance(node, Const):
@@ -119,11 +196,9 @@ class Plan:
             return F.coalesce(F.col(f"leaf_{node.name}"), F.lit(False))
         if isinstance(node, And):
             needed = [p for p in node.parts if not isinstance(p, Maybe)]
-            if not needed:
-                return reduce(lambda a, b: a | b, map(self.match, node.parts))
-            return reduce(lambda a, b: a & b, map(self.match, needed))
+            return _all(list(map(self.match, needed))) if needed else _any(list(map(self.match, node.parts)))
         if isinstance(node, Or):
-            return reduce(lambda a, b: a | b, map(self.match, node.parts))
+            return _any(list(map(self.match, node.parts)))
         if isinstance(node, Not):
             return ~self.match(node.part)
         if isinstance(node, AndNot):
@@ -132,12 +207,12 @@ class Plan:
             return self.match(node.part)
         return reduce(lambda a, b: a + b, [self.match(p).cast("int") for p in node.parts]) >= node.least
 
-    def score(self, node: Node, scorer: Scorer, weights: Mapping[str, float]) -> Column:
-        """Sum over what matches; what only excludes adds nothing."""
+    def score(self, node: Node, scorer: Scorer, weights: Mapping[str, Column]) -> Column:
+        """Sum over what matches; what only excludes and the application's own sets add nothing."""
         zero = F.lit(0.0)
         if isinstance(node, (Term, Phrase)):
-            weight = sum(weights.get(t, 0.0) for t in ([node.text] if isinstance(node, Term) else node.terms))
-            return F.when(self.match(node), scorer(self.count(node), weight)).otherwise(zero)
+            weight = reduce(lambda a, b: a + b, [weights[t] for t in ([node.text] if isinstance(node, Term) else node.terms)])
+            return F.when(self.match(node), scorer.score(self.count(node), weight)).otherwise(zero)
         if isinstance(node, (And, Or, AtLeast)):
             own = [self.score(p, scorer, weights) for p in node.parts]
             if not isinstance(node, And):
@@ -152,26 +227,80 @@ class Plan:
     def ids(self) -> DataFrame:
         return self.table().where(self.match(self.node)).select("doc_id")
 
-    def scored(self, scorer: str = "bm25") -> DataFrame:
-        """``(doc_id, score)``; frequencies of the query's terms and the number of documents are looked up first."""
-        rule, weigh = SCORERS[scorer]
+    def _statistics(self, wanted: list[str]) -> dict[str, Column]:
+        """The number of documents (``n``) and of those with each wanted term (``df<k>``) as scalar subqueries."""
+        if self.stats is not None:
+            terms, docs = self.stats
+            sums = terms.where(F.col("term").isin(wanted)).agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{self.at[t]}") for t in wanted]) if wanted else None
+            out = {f"df{self.at[t]}": F.coalesce(sums.select(f"df{self.at[t]}").scalar(), F.lit(0)) for t in wanted}
+            return out | {"n": docs.select("docs_cnt").scalar()}
+        dfs = [F.count(F.col(f"f{self.at[t]}")).alias(f"df{self.at[t]}") for t in wanted]
+        if self.postings is None:
+            one = self.table(every=True).agg(F.count("*").alias("n"), *dfs)
+        else:
+            one = self.table(every=True).agg(F.lit(1).alias("one"), *dfs) if wanted else None
+        own = {f"df{self.at[t]}": one.select(f"df{self.at[t]}").scalar() for t in wanted}
+        if self.total is not None:
+            return own | {"n": F.lit(self.total)}
+        if self.postings is None:
+            return own | {"n": one.select("n").scalar()}
+        count = self.rows.where(F.size("toks") > 0).agg(F.count("*").alias("n")) if self.rows is not None else self.postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
+        return own | {"n": count.scalar()}
+
+    def scored(self, scorer: str | Scorer = "bm25") -> DataFrame:
+        """``(doc_id, score)``."""
+        rule = SCORERS[scorer] if isinstance(scorer, str) else scorer
         wanted = terms_of(self.node, positive=True)
-        # bounded by the query's terms
-        df = {} if scorer == "trivial" else {r.term: r.df for r in self.postings.where(F.col("term").isin(wanted)).groupBy("term").agg(F.count("*").alias("df")).collect()}
-        total = self.total
-        if total is None:
-            total = 0 if scorer == "trivial" else self.postings.select("doc_id").distinct().count()
-        weights = {t: weigh(total, df.get(t, 0)) for t in wanted}
+        if rule.weighted:
+            stats = self._statistics(wanted)
+            weights = {t: rule.weigh(stats["n"], stats[f"df{self.at[t]}"]) for t in wanted}
+        else:
+            weights = {t: rule.weigh(F.lit(0), F.lit(0)) for t in wanted}
         return self.table().where(self.match(self.node)).select("doc_id", self.score(self.node, rule, weights).alias("score"))
 
-    def top(self, k: int, scorer: str = "bm25") -> DataFrame:
+    def top(self, k: int, scorer: str | Scorer = "bm25") -> DataFrame:
         return self.scored(scorer).orderBy(F.desc("score"), "doc_id").limit(k)
 
     def rich(self) -> DataFrame:
         """``(doc_id, term, freq, positions)`` of matches, without terms that only exclude."""
         wanted = terms_of(self.node, positive=True)
+        if self.postings is None:
+            phrased, self.phrased = self.phrased, set(self.terms)
+            found = self.table().where(self.match(self.node))
+            self.phrased = phrased
+            each = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"f{self.at[t]}").alias("freq"), F.col(f"p{self.at[t]}").alias("positions")) for t in wanted])
+            return found.select("doc_id", F.explode(F.filter(each, lambda x: x["freq"].isNotNull())).alias("m")).select("doc_id", "m.term", "m.freq", "m.positions")
         return self.postings.where(F.col("term").isin(wanted)).join(self.ids(), "doc_id", "left_semi").select("doc_id", "term", "freq", "positions")
 
+    def counted(self) -> DataFrame:
+        """``(doc_id, matched)``: how many of the query's positive leaves a matching document has."""
+        own = leaves(self.node, positive=True)
+        total = reduce(lambda a, b: a + b, [self.match(n).cast("int") for n in own], F.lit(0))
+        return self.table().where(self.match(self.node)).select("doc_id", total.alias("matched"))
+
+    def explain(self) -> str:
+        """The simplified tree, a line for each node, and how its leaves are read."""
+        how = "rows of documents" if self.postings is None else "postings"
+        lines = [f"read {len(self.terms)} terms from {how}" + (", positions of " + ", ".join(sorted(self.phrased)) if self.phrased else "")]
+        if self._alone(self.node):
+            lines.append("beside all live documents, since one may match without a term")
+
+        def show(node: Node, depth: int) -> None:
+            inner = {Term: lambda: f"term {node.text}", Phrase: lambda: f'phrase "{" ".join(node.terms)}"', Const: lambda: str(node.value).lower(), Leaf: lambda: f"set {node.name}", AtLeast: lambda: f"at least {node.least} of"}
+            names = {And: "all of", Or: "any of", Not: "not", AndNot: "first without second", Maybe: "optional"}
+            lines.append("  " * depth + (inner[type(node)]() if type(node) in inner else names[type(node)]))
+            for part in (node.parts if isinstance(node, (And, Or, AtLeast)) else (node.part,) if isinstance(node, (Not, Maybe)) else (node.keep, node.drop) if isinstance(node, AndNot) else ()):
+                show(part, depth + 1)
+
+        show(self.node, 1)
+        return "\n".join(lines)
+
 
 def search(node: Node, postings: DataFrame, docs: DataFrame | None = None, **named: DataFrame) -> DataFrame:
     return Plan(node, postings, docs, named).ids()
+
+
+def within(docs: DataFrame, start: int | None = None, stop: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The documents of ids from ``start`` to below ``stop``; the bounds reach the scan."""
+    out = docs if start is None else docs.where(F.col(id_col) >= start)
+    return out if stop is None else out.where(F.col(id_col) < stop)

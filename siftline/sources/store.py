@@ -1,64 +1,175 @@
 """An index on disk: Parquet tables partitioned by generation.
 
-``postings`` (clustered by term, so that a term's row groups are few and the
-rest are skipped), ``updates`` (replaced and erased ids) and ``commits``.
+``postings`` (ordered by term and document, so that a term's row groups are few
+and the rest are skipped), ``terms`` and ``stats`` (frequencies of a generation),
+``documents`` (its ids), ``updates`` (replaced and erased ids) and ``commits``,
+which is written last: readers only see generations that it names, so none sees
+half of one.  Writing a generation again replaces it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from siftline.functions.text import hits, postings
-from siftline.operators.generations import duplicates, live, merged
+from siftline.functions.text import Tokenize, field_stats, hits, postings, tokens
+from siftline.operators.generations import duplicates, live, merged, retention
+from siftline.plans.compiler import Plan
+from siftline.plans.nodes import Node, parse
 
-_SCHEMAS = {"postings": "term string, doc_id long, freq int, positions array<int>, gen long", "updates": "doc_id long, gen long"}
+_SCHEMAS = {
+    "postings": "term string, doc_id long, freq int, positions array<int>, payloads array<binary>, gen long", "updates": "doc_id long, gen long", "documents": "doc_id long, gen long", "terms": "term string, df long, cf long, gen long",
+    "stats": "sum_term_hits long, total_terms long, sum_terms_docs long, docs_cnt long, gen long", "commits": "docs long, gen long",
+}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    """``tokenize`` and ``payload`` are those of ``hits``; what was indexed with them has to be read with terms of the same kind."""
+
+    def __init__(self, spark: SparkSession, root: str, tokenize: Tokenize = tokens, payload: Callable[[Column, Column], Column] | None = None) -> None:
+        self.spark, self.root, self.tokenize, self.payload = spark, root, tokenize, payload
+        self._kept: dict[str, DataFrame] = {}
 
-    def _read(self, name: str) -> DataFrame:
+    def _read(self, name: str, gens: list[int] | None = None) -> DataFrame:
+        gens = self.generations() if gens is None else gens
+        if not gens:
+            return self.spark.createDataFrame([], _SCHEMAS[name])
         try:
-            return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
+            found = self._kept.get(name)
+            found = self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}") if found is None else found
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], _SCHEMAS[name])
+        return found.where(F.col("gen").isin(gens))
 
     def _write(self, df: DataFrame, name: str, gen: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/gen={gen}")
 
+    def _write_postings(self, rows: DataFrame, gen: int) -> None:
+        """Frequencies are taken from what was written, so that texts are tokenised once."""
+        if "payloads" not in rows.columns:
+            rows = rows.withColumn("payloads", F.lit(None).cast("array<binary>"))
+        self._write(rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings", gen)
+        own = self.spark.read.schema(_SCHEMAS["postings"]).parquet(f"{self.root}/postings/gen={gen}")
+        self._write(own.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("cf")).repartitionByRange("term").sortWithinPartitions("term"), "terms", gen)
+        self._write(field_stats(own), "stats", gen)
+
     def commit(self, gen: int, added: DataFrame | None = None, replaced: DataFrame | None = None, erased: DataFrame | None = None) -> None:
         """One session: new, replaced and erased documents as generation ``gen``; ids may come once."""
         new = [d.select("doc_id", "text") for d in (added, replaced) if d is not None]
+        count = 0
         if new:
             docs = new[0] if len(new) == 1 else new[0].unionByName(new[1])
             if not duplicates(docs).isEmpty():
                 raise ValueError("a document is committed twice")
-            self._write(postings(hits(docs)).repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "postings", gen)
+            self._write_postings(postings(hits(docs, tokenize=self.tokenize, payload=self.payload)), gen)
+            self._write(docs.select("doc_id"), "documents", gen)
+            count = docs.count()
         gone = [d.select("doc_id") for d in (replaced, erased) if d is not None]
         if gone:
             ids = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
             self._write(ids.distinct(), "updates", gen)
+        self._write(self.spark.range(1).select(F.lit(count).cast("long").alias("docs")), "commits", gen)
+
+    def generations(self) -> list[int]:
+        """The committed generations, in order."""
+        try:
+            return sorted(r.gen for r in self.spark.read.schema(_SCHEMAS["commits"]).parquet(f"{self.root}/commits").select("gen").distinct().collect())
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return []
 
-    def generations(self) -> DataFrame:
-        return self._read("postings").select("gen").union(self._read("updates").select("gen")).distinct()
+    def keep(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Store:
+        """Postings and frequencies stay in the executors' memory until ``release``."""
+        for name in ("postings", "terms"):
+            self._kept[name] = self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}").persist(level)
+        return self
+
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept = {}
 
     def postings(self) -> DataFrame:
-        return live(self._read("postings"), self._read("updates"))
+        gens = self.generations()
+        return live(self._read("postings", gens), self._read("updates", gens))
+
+    def documents(self) -> DataFrame:
+        gens = self.generations()
+        return live(self._read("documents", gens), self._read("updates", gens))
 
     def updates(self) -> DataFrame:
         return self._read("updates")
 
-    def terms(self) -> DataFrame:
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("cf"))
+    def terms(self, raw: bool = False) -> DataFrame:
+        """``(term, df, cf)`` in order of terms; ``raw`` adds up the generations' own, with replaced and erased documents, as scores do."""
+        if raw:
+            return self._read("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("cf")).orderBy("term")
+
+    def lookup(self, term: str) -> DataFrame:
+        """``(term, df, cf)`` of one term over all generations, from the row groups that may hold it; no row for an unknown one."""
+        return self._read("terms").where(F.col("term") == term).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+    def stats(self) -> DataFrame:
+        """One row, added up over generations."""
+        return self._read("stats").agg(*[F.sum(c).alias(c) for c in ("sum_term_hits", "total_terms", "sum_terms_docs", "docs_cnt")])
+
+    def plan(self, query: str | Node, named: Mapping[str, DataFrame] | None = None) -> Plan:
+        """A query on the live postings, with the generations' statistics."""
+        gens = self.generations()
+        node = parse(query) if isinstance(query, str) else query
+        found = live(self._read("postings", gens), self._read("updates", gens))
+        return Plan(node, found, self.documents(), named, stats=(self._read("terms", gens), self.stats()))
 
     def compact(self, gen: int, into: str) -> Store:
         """All generations as one in a new store at ``into``."""
-        out = Store(self.spark, into)
-        rows = merged(self._read("postings"), self._read("updates"), gen).drop("gen")
-        out._write(rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "postings", gen)
+        out = Store(self.spark, into, self.tokenize, self.payload)
+        gens = self.generations()
+        rows = merged(self._read("postings", gens), self._read("updates", gens), gen, unique=True)
+        out._write_postings(rows.drop("gen"), gen)
+        out._write(self.documents().select("doc_id"), "documents", gen)
+        out._write(self.spark.range(1).select(self.documents().agg(F.count("*").alias("docs")).scalar().alias("docs")), "commits", gen)
         return out
+
+    def merge(self, gens: list[int], gen: int) -> DataFrame:
+        """``gens`` become ``gen`` in this store; the result says what became of each generation by the rule of ``retention``.
+
+        Merged generations leave; their update ids stay where an older generation does.
+        """
+        every = self.generations()
+        if gen not in gens and gen in every:
+            raise ValueError(f"generation {gen} is there already")
+        if sorted(gens) != [g for g in every if min(gens) <= g <= max(gens)] or not min(gens) <= gen <= max(gens):
+            raise ValueError("only generations that follow each other become one, in their place")
+        newer = self._read("updates", [g for g in every if g >= min(gens)])
+        staged = f"{self.root}/staged"
+        merged(self._read("postings", gens), newer, gen, unique=True).drop("gen").write.mode("overwrite").parquet(f"{staged}/postings")
+        live(self._read("documents", gens), newer).select("doc_id").write.mode("overwrite").parquet(f"{staged}/documents")
+        rule = retention(self.spark.createDataFrame([(g, g in gens) for g in every], "gen long, candidate boolean"))
+        kept = {r.gen: r.decision for r in rule.collect()}  # a row for each generation
+        ids = self._read("updates", [g for g in gens if kept[g] == "retain_updates"]).select("doc_id").distinct()
+        ids.write.mode("overwrite").parquet(f"{staged}/updates")
+        for g in gens:
+            self._remove(f"commits/gen={g}")
+        for g in gens:
+            for name in ("postings", "terms", "stats", "documents", "updates"):
+                self._remove(f"{name}/gen={g}")
+        self._write_postings(self.spark.read.parquet(f"{staged}/postings"), gen)
+        docs = self.spark.read.parquet(f"{staged}/documents")
+        self._write(docs, "documents", gen)
+        self._write(self.spark.read.parquet(f"{staged}/updates"), "updates", gen)
+        self._write(self.spark.range(1).select(docs.agg(F.count("*").alias("docs")).scalar().alias("docs")), "commits", gen)
+        self._remove("staged")
+        return rule
+
+    def _remove(self, place: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{place}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.operators.percolate import percolate
 from siftline.plans.nodes import Node
@@ -19,9 +20,14 @@ def percolate_stream(spark: SparkSession, source: str, schema: str, stored: Mapp
     return spark.read.schema("doc_id long, query_id long").parquet(sink)
 
 
-def index_stream(docs: DataFrame, store: Store, checkpoint: str):
-    """Each micro-batch replaces its documents as a generation of its own; a repeated batch overwrites itself."""
+def index_stream(docs: DataFrame, store: Store, checkpoint: str, order: str | None = None):
+    """Each micro-batch replaces its documents as a generation of its own; a repeated batch overwrites itself.
+
+    Of rows of one id in a batch the greatest text counts, or the last by ``order`` (a column that says when a row was made) where there is one.
+    """
+
     def batch(df: DataFrame, number: int) -> None:
-        store.commit(number + 1, replaced=df)
+        last = F.struct(*[c for c in (order, "text") if c is not None])
+        store.commit(number + 1, replaced=df.groupBy("doc_id").agg(F.max_by("text", last).alias("text")))
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -9,13 +10,17 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from siftline.functions.text import field_stats, hits, postings  # noqa: E402
+from siftline.functions import scalars as X  # noqa: E402
+from siftline.functions.text import field_stats, fixed, hits, number, postings, specials  # noqa: E402
+from siftline.operators.control import abort, abortable  # noqa: E402
 from siftline.operators.generations import retention  # noqa: E402
-from siftline.operators.percolate import percolate, percolate_phrases  # noqa: E402
+from siftline.operators.percolate import clauses, percolate, percolate_phrases, percolate_table  # noqa: E402
 from siftline.operators.suggest import alternatives, masks  # noqa: E402
-from siftline.plans.compiler import Plan  # noqa: E402
-from siftline.plans.nodes import FALSE, And, AndNot, AtLeast, Maybe, Not, Or, Phrase, QueryError, Term, matches, parse, simplify  # noqa: E402
-from siftline.plans.rewrite import from_rules, rewrite  # noqa: E402
+from siftline.plans.compiler import SCORERS, Plan  # noqa: E402
+from siftline.plans.instances import Instance, index_terms, instances, rewritten, table  # noqa: E402
+from siftline.plans.nodes import FALSE, And, AndNot, AtLeast, Const, Leaf, Maybe, Not, Or, Phrase, QueryError, Term, matches, parse, settled, simplify  # noqa: E402
+from siftline.plans.rewrite import Alternative, from_rules, rewrite  # noqa: E402
+from siftline.sources.collection import Collection, Documents, Listed, Masks, Source  # noqa: E402
 from siftline.sources.store import Store  # noqa: E402
 
 CORPUS = {1: "world of warcraft mists of pandaria", 2: "mists of world warcraft", 3: "pizza onions san francisco", 4: "pizza sf", 5: "san jose francisco pizza", 6: "star wars return of the jedi", 7: "wars jedi star", 8: "the food of the world"}
@@ -106,18 +111,225 @@ def test_rewrite():
 
 WORDS = ["a", "b", "c", "d"]
 TREES = st.recursive(
-    st.sampled_from(WORDS).map(Term) | st.lists(st.sampled_from(WORDS), min_size=2, max_size=3).map(lambda w: Phrase(tuple(w))),
-    lambda t: st.lists(t, min_size=1, max_size=3).map(lambda p: And(tuple(p))) | st.lists(t, min_size=1, max_size=3).map(lambda p: Or(tuple(p)))
-    | st.tuples(t, t).map(lambda p: AndNot(*p)) | t.map(Not) | st.tuples(st.integers(1, 3), st.lists(t, min_size=1, max_size=3)).map(lambda p: AtLeast(p[0], tuple(p[1]))),
+    st.sampled_from(WORDS).map(Term) | st.lists(st.sampled_from(WORDS), min_size=2, max_size=3).map(lambda w: Phrase(tuple(w))) | st.booleans().map(Const),
+    lambda t: st.lists(t, min_size=1, max_size=3).map(lambda p: And(tuple(p))) | st.lists(t, min_size=1, max_size=3).map(lambda p: Or(tuple(p))) | t.map(Maybe)
+    | st.tuples(t, t).map(lambda p: AndNot(*p)) | t.map(Not) | st.tuples(st.integers(0, 3), st.lists(t, min_size=1, max_size=3)).map(lambda p: AtLeast(p[0], tuple(p[1]))),
     max_leaves=6,
 )
 
 
 @given(TREES, st.lists(st.lists(st.sampled_from(WORDS), max_size=5), min_size=1, max_size=6))
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=500, deadline=None)
 def test_simplified_trees_mean_the_same(tree, texts):
+    own = clauses(tree)
     for t in texts:
         assert matches(tree, t) == matches(simplify(tree), t)
+        assert matches(tree, t, percolating=True) == matches(simplify(settled(tree)), t)
+        if own is not None:
+            line = f" {' '.join(t)} "
+            holds = lambda n: n.text in t if isinstance(n, Term) else f" {' '.join(n.terms)} " in line
+            assert matches(tree, t, percolating=True) == any(all(map(holds, need)) and not any(map(holds, no)) for need, no in own)
+
+
+def random_trees(n, seed=3):
+    r = random.Random(seed)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return r.choice([Term(r.choice(WORDS)), Phrase(tuple(r.choice(WORDS) for _ in range(r.randint(2, 3)))), Const(r.random() < 0.5)])
+        some = lambda k: tuple(tree(depth - 1) for _ in range(k))
+        return r.choice([lambda: And(some(r.randint(1, 3))), lambda: Or(some(r.randint(1, 3))), lambda: Not(tree(depth - 1)), lambda: AndNot(*some(2)), lambda: Maybe(tree(depth - 1)), lambda: AtLeast(r.randint(0, 3), some(3))])()
+
+    return [tree(3) for _ in range(n)]
+
+
+def test_plans_mean_what_trees_do(spark):
+    """Spark plans over rows, over postings and of percolation against the plain definition."""
+    r = random.Random(5)
+    texts = {k: [r.choice(WORDS) for _ in range(r.randint(0, 5))] for k in range(25)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").coalesce(1).cache()
+    found = postings(hits(docs)).coalesce(1).cache()
+    trees = random_trees(24)
+    for n in trees[:14]:
+        want = sorted(k for k, t in texts.items() if matches(n, t))
+        assert sorted(x.doc_id for x in Plan.over(n, docs).ids().collect()) == want, n
+        assert sorted(x.doc_id for x in Plan(n, found, docs).ids().collect()) == want, n
+    want = {(k, q) for q, n in enumerate(trees) for k, t in texts.items() if matches(n, t, percolating=True)}
+    assert {tuple(x) for x in percolate(docs, dict(enumerate(trees))).collect()} == want
+
+
+def test_percolation_by_tables(spark, docs, monkeypatch):
+    stored = {k: q for k, q in enumerate([*CASES, "<the> NOT star", "star OR <zzz>", "MINMATCH(0, a)", '("of the" NOT jedi) OR "pizza sf"'])}
+    want = {(d, k) for k, q in stored.items() for d, t in CORPUS.items() if matches(parse(q), t.split(), percolating=True)}
+    queries = spark.createDataFrame(list(stored.items()), "query_id long, query string")
+    assert {tuple(x) for x in percolate_table(docs, queries).collect()} == want
+    assert percolate_table(docs, queries.limit(0)).collect() == [] and percolate_table(docs.limit(0), queries).collect() == []
+    for name, value in (("EXPRESSIONS", 2), ("BROADCAST", 0)):
+        monkeypatch.setattr("siftline.operators.percolate." + name, value)
+        assert {tuple(x) for x in percolate(docs, {k: parse(q) for k, q in stored.items()}).collect()} == want
+        assert {tuple(x) for x in percolate_table(docs, queries).collect()} == want
+
+
+def test_rows_and_postings_score_alike(spark, docs, posted):
+    for query in ("of OR the", '"of the" OR pizza', "of <world> NOT jedi", "MINMATCH(2, star, wars, the)", "NOT of", " ".join(CORPUS[1].split()) + " OR star"):
+        for scorer in SCORERS:
+            rows = {x.doc_id: round(x.score, 9) for x in Plan.over(parse(query), docs).scored(scorer).collect()}
+            assert rows == {x.doc_id: round(x.score, 9) for x in Plan(parse(query), posted, docs).scored(scorer).collect()}, query
+        rich = lambda p: {(x.doc_id, x.term, x.freq, tuple(x.positions)) for x in p.rich().collect()}
+        if query != "NOT of":
+            assert rich(Plan.over(parse(query), docs)) == rich(Plan(parse(query), posted, docs))
+    many = Or(tuple(Term(f"w{k}") for k in range(100)) + (Phrase(("of", "the")),))
+    assert sorted(x.doc_id for x in Plan.over(many, docs).ids().collect()) == [6, 8]
+    assert {x.doc_id for x in Plan.over(many, docs).scored().collect()} == {6, 8}
+    assert 'phrase "of the"' in Plan.over(many, docs).explain() and "live documents" in Plan.over(parse("NOT of"), docs).explain()
+
+
+def test_plans_are_built_without_jobs(spark, docs, posted, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    store.commit(1, added=docs)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans")
+    Plan.over(parse('"of the" OR star'), docs).scored()
+    Plan(parse("of NOT star"), posted, docs).scored()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("building")
+
+
+def test_store_statistics_and_visibility(spark, docs, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    assert store.generations() == [] and store.postings().collect() == [] and store.plan("of").ids().collect() == []
+    store.commit(1, added=docs)
+    assert tuple(store.stats().first()) == (34, 17, 32, 8)
+    assert [tuple(x) for x in store.lookup("of").collect()] == [("of", 4, 5)] and store.lookup("zzz").collect() == []
+    got = {x.doc_id: round(x.score, 6) for x in store.plan("of OR the").scored("bm25").collect()}
+    assert got == {1: 0.433217, 2: 0.315067, 6: 0.897310, 8: 1.115651}
+    assert sorted(x.doc_id for x in store.plan("NOT of").ids().collect()) == [3, 4, 5, 7]
+    # a generation without its mark isn't seen
+    store._write_postings(postings(hits(spark.createDataFrame([(99, "of")], "doc_id long, text string"))), 2)
+    assert 99 not in {x.doc_id for x in store.plan("of").ids().collect()}
+    store.commit(2, replaced=spark.createDataFrame([(4, "of all")], "doc_id long, text string"), erased=spark.createDataFrame([(1,)], "doc_id long"))
+    assert sorted(x.doc_id for x in store.keep().plan("of").ids().collect()) == [2, 4, 6, 8]
+    store.release()
+    assert store.lookup("of").first().df == 5  # as scores count, with what was erased
+    plan = store.plan("of").table()._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(term,of)" in plan.replace("In(term, [of])", "EqualTo(term,of)")
+
+
+def test_store_merges_in_place(spark, docs, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    new = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
+    store.commit(1, added=docs)
+    store.commit(2, replaced=new(4, "pizza york"))
+    store.commit(3, replaced=new(9, "pizza rome"), erased=spark.createDataFrame([(5,)], "doc_id long"))
+    store.commit(4, replaced=new(9, "pizza pisa"))
+    live = lambda: {tuple(x) for x in store.postings().select("term", "doc_id", "freq").collect()}
+    before = live()
+    rule = {x.gen: x.decision for x in store.merge([2, 3], 3).collect()}
+    assert rule == {1: "retain_all", 2: "retain_updates", 3: "retain_updates", 4: "retain_all"}
+    assert store.generations() == [1, 3, 4] and live() == before
+    store.merge([1, 3, 4], 4)
+    assert store.generations() == [4] and live() == before and store.updates().collect() == []
+    assert store.stats().first().docs_cnt == 8 == store.documents().count()
+    with pytest.raises(ValueError):
+        store.merge([9], 9)
+
+
+def test_collections(spark, docs):
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "doc_id long")
+    revised = Documents(spark.createDataFrame([(7, "stars")], "doc_id long, text string"), replacing=True)
+    local = Documents(spark.createDataFrame([(1, "of mars")], "doc_id long, text string"), idmap=spark.createDataFrame([(1, 101)], "local_id long, global_id long"))
+    both = Collection({1: Documents(docs), 2: revised, 3: Masks(ids(1)), 4: local})
+    assert all(isinstance(s, Source) for s in (*both.sources.values(), both, Listed(spark, [1])))
+    assert sorted(x.doc_id for x in both.plan("of").ids().collect()) == [2, 6, 8, 101]
+    assert sorted(x.doc_id for x in both.plan("wars OR stars").ids().collect()) == [6, 7]
+    assert sorted(x.doc_id for x in both.plan("NOT of").ids().collect()) == [3, 4, 5, 7]
+    node = And((Term("of"), Leaf("mine")))
+    assert [x.doc_id for x in Plan(node, both.postings(), named={"mine": Listed(spark, [8, 9]).documents()}).ids().collect()] == [8]
+
+
+def test_streams_index_and_replace(spark, tmp_path):
+    from siftline.streaming.percolator import index_stream
+
+    store = Store(spark, str(tmp_path / "index"))
+    schema = "doc_id long, text string, at long"
+    for part, rows in enumerate([[(1, "old star", 1), (2, "war", 1), (1, "new star", 2)], [(2, "peace", 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        index_stream(stream, store, str(tmp_path / "state"), order="at").awaitTermination()
+        assert len(store.generations()) == part + 1
+    assert {(x.term, x.doc_id) for x in store.postings().collect()} == {("new", 1), ("star", 1), ("peace", 2)}
+
+
+def test_instances():
+    got = instances("world of of warcraft \"mists of pandaria\" NOT (a b)")
+    assert [(i.slot, i.term, i.rep, i.to_next_span, i.phrase_id) for i in got] == [(0, "world", 1, 1, 0), (1, "of", 2, 1, 0), (2, "warcraft", 1, 1, 0), (3, "mists", 1, 1, 1), (4, "of", 1, 1, 1), (5, "pandaria", 1, 0, 1)]
+    trace = []
+    rewrite(parse("mac book pro"), from_rules({("mac", "book"): [Alternative("macbook", flags=4, coefficient=0.5)], ("pro",): ["professional"]}), trace=trace)
+    made = {(i.slot, i.term, i.to_next_span, i.flags, i.first, i.stop, i.coefficient, i.source_size) for i in rewritten(["mac", "book", "pro"], trace)}
+    assert {(0, "macbook", 2, 4, 0, 2, 0.5, 2), (2, "professional", 0, 0, 2, 3, 1.0, 1), (0, "mac", 1, 0, 0, 1, 1.0, 1)} <= made
+
+
+def test_index_terms(spark):
+    found = table(spark, [Instance(0, "a", flags=1), Instance(0, "a", flags=2), Instance(1, "b")])
+    assert index_terms(found).count() == 3 and index_terms(found, disregard_flags=True).count() == 2
+
+
+def test_payloads(spark, docs):
+    found = postings(hits(docs, ["of"], payload=lambda t, p: fixed(p * 1000)).unionByName(specials(docs.selectExpr("doc_id", "'en' as lang", "null as source"), payload=F.lit("x"))))
+    got = {(x.term, x.doc_id): (list(x.positions), [None if b is None else bytes(b) for b in x.payloads]) for x in found.collect()}
+    assert got["of", 1] == ([2, 5], [(2000).to_bytes(8, "little"), (5000).to_bytes(8, "little")]) and got["lang:en", 3] == ([0], [b"x"])
+    assert [x.n for x in spark.range(1).select(F.explode(F.array(*[number(fixed(F.lit(k))) for k in (0, 1, 255, 65536, 2**40)])).alias("n")).collect()] == [0, 1, 255, 65536, 2**40]
+
+
+def test_signs_and_numbers_in_queries():
+    assert parse("salt & pepper") == And((Term("salt"), Term("pepper"))) and parse("&") == FALSE == parse("") and parse("a NOT &") == Term("a") and parse("(&) OR b") == Term("b")
+    for bad in ("MINMATCH(x, a)", "(", "a OR", "NOT"):
+        with pytest.raises(QueryError):
+            parse(bad)
+
+
+def test_subsumption():
+    a, b = Term("a"), Term("b")
+    long, short = Phrase(("a", "b", "c")), Phrase(("a", "b"))
+    assert simplify(And((short, long))) == long and simplify(AndNot(long, b)) == FALSE and simplify(AndNot(Or((long, Term("x"))), b)) == AndNot(Term("x"), b)
+    assert simplify(And((Const(True), Maybe(a)))) == And((Const(True), Maybe(a))) and simplify(AndNot(And((a, b)), b)) == FALSE and simplify(Maybe(a)) == a
+
+
+def test_scalars(spark):
+    row = spark.createDataFrame([("hello.world.x", 1536, 12, "  ", "4294967296", 0)], "t string, n long, m int, b string, u string, z long").select(
+        X.common_prefix(F.col("t"), F.lit("help")), X.suffix_from(F.col("t"), "."), X.search_last(F.col("t"), "."), X.divided(F.col("t"), ".")["after"], F.size(X.split(F.col("t"), ".")), X.is_blank(F.col("b")), X.as_unsigned(F.col("u")), X.as_unsigned(F.col("u"), 64).cast("long"),
+        X.size_repr(F.col("n")), X.to_base(F.col("m"), 2), X.from_base(F.lit("ff"), 16), X.lowest_bit(F.col("m").cast("long")), X.lowest_bit(F.col("z")), X.as_double(F.lit("1.5e1")), X.as_double(F.lit("x")), X.intersection(F.lit(1), F.lit(5), F.lit(3), F.lit(9))["stop"], X.overlaps(F.lit(1), F.lit(2), F.lit(2), F.lit(3)),
+    ).first()
+    assert list(row) == [3, "world.x", 11, "world.x", 3, True, None, 4294967296, "1.50kb", "1100", 255, 2, -1, 15.0, None, 5, False]
+
+
+def test_abort(spark):
+    import threading
+    import time
+
+    failed = []
+
+    def slow(frames):
+        time.sleep(40)
+        yield from frames
+
+    def run():
+        with abortable(spark, "mine"):
+            try:
+                spark.range(4).repartition(4).selectExpr("java_method('java.lang.Thread', 'sleep', cast(60000 as bigint)) as x").collect()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    from pyspark import InheritableThread
+
+    t = InheritableThread(target=run)
+    start = time.time()
+    t.start()
+    while not failed and time.time() - start < 25:
+        time.sleep(1)
+        abort(spark, "mine")
+    t.join(60)
+    assert failed and time.time() - start < 38
 
 
 def test_registry_without_the_llm_folders():
