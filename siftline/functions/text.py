@@ -64,6 +64,20 @@ def postings(found: DataFrame, positions: bool = True) -> DataFrame:
     return found.groupBy("term", "doc_id").agg(*aggs)
 
 
+def word_space(found: DataFrame) -> DataFrame:
+    """``(doc_id, space)``: of each document the term at each position; of several at one the greatest."""
+    own = found.where("pos > 0").groupBy("doc_id", "pos").agg(F.max("term").alias("term"))
+    return own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "term"))).alias("space"))
+
+
+def stands_at(space: Column, start: Column, terms: Iterable[str]) -> Column:
+    """Whether ``terms`` stand side by side from position ``start`` on."""
+    out = F.lit(True)
+    for k, term in enumerate(terms):
+        out = out & F.coalesce(F.try_element_at(space, start + k) == term, F.lit(False))
+    return out
+
+
 def doc_stats(found: DataFrame) -> DataFrame:
     """Of each document the distinct terms, the greatest frequency, all and positional hits, and hits that share a position with another."""
     by_term = found.groupBy("doc_id", "term").agg(F.count("*").alias("freq"), F.count(F.when(F.col("pos") > 0, 1)).alias("placed"))

@@ -16,8 +16,8 @@ from siftline.operators import percolate as P
 from siftline.operators import suggest as S
 from siftline.plans import instances as I
 from siftline.plans.compiler import Plan, Scorer, within
-from siftline.plans.nodes import And, AndNot, AtLeast, Leaf, Node, Or, Phrase, Term, parse
-from siftline.plans.rewrite import from_rules, rewrite
+from siftline.plans.nodes import And, AndNot, AtLeast, Const, Leaf, Maybe, Node, Or, Phrase, Term, parse
+from siftline.plans.rewrite import Alternative, from_rules, rewrite
 from siftline.sources.collection import Collection, Documents, Masks
 from siftline.sources.store import Store
 
@@ -83,6 +83,25 @@ ids("all_phrases", '"of the" "the of"', f"{phrase_sql('of', 'the')} INTERSECT {p
 ids("nested_bool", '(("of the") OR (is AND was)) NOT les', f"(({phrase_sql('of', 'the')}) UNION ({has('is')} INTERSECT {has('was')})) EXCEPT {has('les')}")
 
 
+ids("unary_and", And((Term("the"),)), "SELECT DISTINCT doc_id FROM h WHERE term = 'the'")
+ids("const_true", And((Const(True), Maybe(Term("the")))), "SELECT doc_id FROM documents")
+ids("const_false", Or((Const(False), And((Term("the"), Const(False))), Term("of"))), "SELECT DISTINCT doc_id FROM h WHERE term = 'of'")
+ids("subsumed", AndNot(And((Phrase(("of", "the")), Term("of"), Or((Phrase(("the", "of")), Term("is"))))), Phrase(("was", "the"))), f"({phrase_sql('of', 'the')} INTERSECT ({phrase_sql('the', 'of')} UNION {has('is')})) EXCEPT {phrase_sql('was', 'the')}")
+
+
+@add("word_space", f"WITH {H} {phrase_sql('of', 'the', what='a.doc_id, a.pos')}")
+def word_space(spark, sf):
+    found = T.hits(docs(spark, sf), ["of", "the"])
+    starts = T.word_space(found).select("doc_id", "space", F.explode(F.map_keys("space")).alias("pos"))
+    return starts.where(T.stands_at(F.col("space"), F.col("pos"), ["of", "the"])).select("doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@add("plan_explain", """SELECT * FROM (VALUES (0, 'read 5 terms from rows of documents, positions of of, the'), (1, '  first without second'), (2, '    any of'), (3, '      phrase "of the"'), (4, '      all of'), (5, '        term is'), (6, '        optional'), (7, '          term was'), (8, '    term les')) v(line, text)""")
+def plan_explain(spark, sf):
+    lines = Plan.over(parse('("of the" OR (is <was>)) NOT les'), docs(spark, sf)).explain().split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
 @add("optional_left", f"WITH {PQ} SELECT a.doc_id, a.freq AS of_freq, coalesce(b.freq, 0) AS the_freq FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.term = 'the' WHERE a.term = 'of'")
 def optional_left(spark, sf):
     node = parse("of <the>")
@@ -245,6 +264,18 @@ def own_scorer(spark, sf):
     return Plan.over(parse("the OR of"), docs(spark, sf)).scored(twice).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@add("leaf_scores", f"WITH {PQ} SELECT doc_id, CAST(freq AS DOUBLE) AS score FROM p WHERE term = 'of' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def leaf_scores(spark, sf):
+    """The application's own set filters and scores nothing."""
+    good = read(spark, sf, "labels").where("quality = 1")
+    return Plan.over(And((Term("of"), Leaf("good"))), docs(spark, sf), {"good": good}).scored("trivial")
+
+
+@add("wrapped_scores", f"WITH {PQ} SELECT doc_id, CAST(sum(CASE WHEN term = 'the' THEN 3 * freq ELSE freq END) AS DOUBLE) AS score FROM p WHERE term IN ('the', 'of') GROUP BY doc_id")
+def wrapped_scores(spark, sf):
+    return Plan.over(parse("the OR of"), docs(spark, sf)).scored("trivial", wrap=lambda node, score: score * 3 if node == Term("the") else score)
+
+
 @add("collection_search", f"WITH {H} ({has('the')} EXCEPT SELECT doc_id FROM labels WHERE toxic = 1) UNION SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE quality = 0 AND toxic = 0 AND text IS NOT NULL")
 def collection_search(spark, sf):
     """All documents, revisions of those of low quality that begin with 'the', and erasure of the toxic ones."""
@@ -322,47 +353,87 @@ def shared(spark: SparkSession) -> str:
     return f"{root}/siftline-{uuid.uuid4().hex}"
 
 
-_STORES: dict[tuple[str, str, int], Store] = {}
+_STORES: dict[tuple[str, str, str], Store] = {}
 
 
-def stored(spark: SparkSession, sf: str, generations: int) -> Store:
-    """An index of the documents, built once a session: of one generation, or of the three of ``gens`` compacted."""
-    key = (spark.sparkContext.applicationId, sf, generations)
+def stored(spark: SparkSession, sf: str, kind: str = "one") -> Store:
+    """An index of the documents, built once a session: of ``one`` generation, of the ``three`` of ``gens``, or these ``compacted``."""
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _STORES:
+        if kind == "compacted":
+            _STORES[key] = stored(spark, sf, "three").compact(4, shared(spark))
+            return _STORES[key]
         store, d, labels = Store(spark, shared(spark)), docs(spark, sf), read(spark, sf, "labels")
         store.commit(1, added=d)
-        if generations > 1:
+        if kind == "three":
             revised = d.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("revised "), "text"))
             store.commit(2, replaced=revised)
             store.commit(3, erased=labels.where("toxic = 1").select("doc_id"))
-            store = store.compact(4, shared(spark))
         _STORES[key] = store
     return _STORES[key]
 
 
 @add("store_search", f"WITH {H} (({phrase_sql('of', 'the')}) UNION ({has('is')} INTERSECT {has('was')})) EXCEPT {has('les')}")
 def store_search(spark, sf):
-    return stored(spark, sf, 1).plan('(("of the") OR (is AND was)) NOT les').ids()
+    return stored(spark, sf).plan('(("of the") OR (is AND was)) NOT les').ids()
 
 
 @add("store_complement", f"WITH {H} SELECT DISTINCT doc_id FROM documents EXCEPT {has('the')}")
 def store_complement(spark, sf):
-    return stored(spark, sf, 1).plan("NOT the").ids()
+    return stored(spark, sf).plan("NOT the").ids()
 
 
 @add("store_scored", f"WITH {PQ} {_SUM.format(_OR3)}")
 def store_scored(spark, sf):
-    return stored(spark, sf, 1).plan("the OR of OR that").scored("bm25").select("doc_id", F.round("score", 6).alias("score"))
+    return stored(spark, sf).plan("the OR of OR that").scored("bm25").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @add("store_terms", f"WITH {PQ} SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM p GROUP BY term")
 def store_terms(spark, sf):
-    return stored(spark, sf, 1).terms(raw=True)
+    return stored(spark, sf).terms(raw=True)
+
+
+@add("store_lookup", f"WITH {PQ} SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM p WHERE term = 'the' GROUP BY term")
+def store_lookup(spark, sf):
+    return stored(spark, sf).lookup("the")
+
+
+@add("store_live", f"{_GENS} SELECT term, doc_id, freq, gen FROM live")
+def store_live(spark, sf):
+    return stored(spark, sf, "three").postings().select("term", "doc_id", "freq", "gen")
+
+
+@add("store_updates", f"{_GENS} SELECT DISTINCT doc_id, CAST(gen AS BIGINT) AS gen FROM u")
+def store_updates(spark, sf):
+    return stored(spark, sf, "three").updates()
+
+
+@add("store_stats_raw", f"{_GENS}, g AS (SELECT gen, CAST(sum(freq) AS BIGINT) AS a, count(DISTINCT term) AS b, count(*) AS c, count(DISTINCT doc_id) AS d FROM p GROUP BY gen) SELECT CAST(sum(a) AS BIGINT) AS sum_term_hits, CAST(sum(b) AS BIGINT) AS total_terms, CAST(sum(c) AS BIGINT) AS sum_terms_docs, CAST(sum(d) AS BIGINT) AS docs_cnt FROM g")
+def store_stats_raw(spark, sf):
+    """Added up over generations, with what later ones replaced or erased."""
+    return stored(spark, sf, "three").stats()
+
+
+@add("store_phrase_live", f"{_GENS}, w2 AS (SELECT doc_id, gen, t[i] AS a, t[i + 1] AS b FROM (SELECT doc_id, gen, {_TOKS.format('text')} AS t FROM a), unnest(range(1, len(t))) r(i)) SELECT DISTINCT doc_id FROM w2 LEFT JOIN ug USING (doc_id) WHERE (ug IS NULL OR gen >= ug) AND a = 'revised' AND b = 'the'")
+def store_phrase_live(spark, sf):
+    return stored(spark, sf, "three").plan('"revised the"').ids()
+
+
+@add("stream_index", f"WITH {PQ} SELECT doc_id, freq FROM p WHERE term = 'the'")
+def stream_index(spark, sf):
+    """The documents as a stream, each micro-batch a generation of an index."""
+    from siftline.streaming.percolator import index_stream
+
+    base = shared(spark)
+    store = Store(spark, f"{base}/index")
+    stream = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf}/documents.parque?")
+    index_stream(stream, store, f"{base}/state").awaitTermination()
+    return store.postings().where("term = 'the'").select("doc_id", "freq")
 
 
 @add("store_after_compact", f"{_GENS} SELECT doc_id, freq FROM live WHERE term = 'revised'")
 def store_after_compact(spark, sf):
-    return stored(spark, sf, 3).postings().where("term = 'revised'").select("doc_id", "freq")
+    return stored(spark, sf, "compacted").postings().where("term = 'revised'").select("doc_id", "freq")
 
 
 _SLOTS = ("the", "of", "was", "que", "der")
@@ -397,6 +468,31 @@ def rewritten(name: str, query: str, rules: dict[tuple[str, ...], list[str]], sq
     ids(name, rewrite(parse(query), from_rules(rules)), sql)
 
 
+@add("masks_united", f"{_MASKS} SELECT mask, CAST(cnt AS BIGINT) AS cnt FROM m")
+def masks_united(spark, sf):
+    """Masks of English texts and of all others, added up."""
+    d = docs(spark, sf)
+    part = lambda where: S.masks(T.postings(T.hits(d.where(where), _SLOTS), False), _SLOTS)
+    return S.united([part("lang = 'en'"), part("coalesce(lang, '') <> 'en'")])
+
+
+@add("mask_bits", f"{_MASKS} SELECT mask, k AS bit FROM m, unnest(range(5)) r(k) WHERE (mask & (1 << k)) <> 0")
+def mask_bits(spark, sf):
+    return S.masks(slot_postings(spark, sf), _SLOTS).select("mask", F.explode(S.bits(F.col("mask"))).alias("bit")).withColumn("bit", F.col("bit").cast("long"))
+
+
+@add("rewrite_trace", "SELECT * FROM (VALUES (0, 2, 'ofthe', 4, CAST(0.5 AS DOUBLE), 2), (0, 1, 'from', 0, CAST(1 AS DOUBLE), 1), (2, 3, 'que', 0, CAST(1 AS DOUBLE), 1)) v(first, stop, text, flags, coefficient, source_size)")
+def rewrite_trace(spark, sf):
+    rules = {("of", "the"): [Alternative("ofthe", flags=4, coefficient=0.5)], ("of",): ["from"], ("is",): ["que"], ("the",): []}
+    trace: list = []
+    rewrite(parse("of the is"), from_rules(rules), trace=trace)
+    rows = [(p.start, p.stop, p.text, p.flags, p.coefficient, p.source_size) for p in trace]
+    return spark.createDataFrame(rows, "first int, stop int, text string, flags int, coefficient double, source_size int")
+
+
+ids("rewrite_budget", rewrite(parse("the was"), from_rules({("was",): ["is", "of"], ("the",): ["les"]}), budget=1), f"{has('the')} INTERSECT ({has('was')} UNION {has('is')})")
+
+
 @add("alternatives_detail", f"{_MASKS}, n AS (SELECT * FROM m WHERE mask <> 31), x AS ({_MAXIMAL.format('n')}) SELECT mask, cnt, concat_ws('+', {_NAMES}) AS tokens, CAST(list_min([k FOR k IN range(5) IF (mask & (1 << k)) <> 0]) AS INTEGER) AS first_bit FROM x ORDER BY bit_count(mask) DESC, cnt DESC, mask LIMIT 5")
 def alternatives_detail(spark, sf):
     node = parse(" ".join(_SLOTS))

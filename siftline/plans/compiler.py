@@ -36,6 +36,9 @@ class Scorer:
     weighted: bool = True
 
 
+Wrap = Callable[[Node, Column], Column]
+
+
 def _double(c: Column) -> Column:
     return c.cast("double")
 
@@ -207,21 +210,25 @@ class Plan:
             return self.match(node.part)
         return reduce(lambda a, b: a + b, [self.match(p).cast("int") for p in node.parts]) >= node.least
 
-    def score(self, node: Node, scorer: Scorer, weights: Mapping[str, Column]) -> Column:
-        """Sum over what matches; what only excludes and the application's own sets add nothing."""
+    def score(self, node: Node, scorer: Scorer, weights: Mapping[str, Column], wrap: Wrap | None = None) -> Column:
+        """Sum over what matches; what only excludes and the application's own sets add nothing. ``wrap`` may change the score of any node."""
+        own = self._score(node, scorer, weights, wrap)
+        return own if wrap is None else wrap(node, own)
+
+    def _score(self, node: Node, scorer: Scorer, weights: Mapping[str, Column], wrap: Wrap | None) -> Column:
         zero = F.lit(0.0)
         if isinstance(node, (Term, Phrase)):
             weight = reduce(lambda a, b: a + b, [weights[t] for t in ([node.text] if isinstance(node, Term) else node.terms)])
             return F.when(self.match(node), scorer.score(self.count(node), weight)).otherwise(zero)
         if isinstance(node, (And, Or, AtLeast)):
-            own = [self.score(p, scorer, weights) for p in node.parts]
+            own = [self.score(p, scorer, weights, wrap) for p in node.parts]
             if not isinstance(node, And):
                 own = [F.when(self.match(p), s).otherwise(zero) for p, s in zip(node.parts, own)]
             return reduce(lambda a, b: a + b, own)
         if isinstance(node, AndNot):
-            return self.score(node.keep, scorer, weights)
+            return self.score(node.keep, scorer, weights, wrap)
         if isinstance(node, Maybe):
-            return F.when(self.match(node.part), self.score(node.part, scorer, weights)).otherwise(zero)
+            return F.when(self.match(node.part), self.score(node.part, scorer, weights, wrap)).otherwise(zero)
         return zero
 
     def ids(self) -> DataFrame:
@@ -247,8 +254,8 @@ class Plan:
         count = self.rows.where(F.size("toks") > 0).agg(F.count("*").alias("n")) if self.rows is not None else self.postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
         return own | {"n": count.scalar()}
 
-    def scored(self, scorer: str | Scorer = "bm25") -> DataFrame:
-        """``(doc_id, score)``."""
+    def scored(self, scorer: str | Scorer = "bm25", wrap: Wrap | None = None) -> DataFrame:
+        """``(doc_id, score)``; ``wrap`` is given each node of the tree with its score, and returns the score to use."""
         rule = SCORERS[scorer] if isinstance(scorer, str) else scorer
         wanted = terms_of(self.node, positive=True)
         if rule.weighted:
@@ -256,7 +263,7 @@ class Plan:
             weights = {t: rule.weigh(stats["n"], stats[f"df{self.at[t]}"]) for t in wanted}
         else:
             weights = {t: rule.weigh(F.lit(0), F.lit(0)) for t in wanted}
-        return self.table().where(self.match(self.node)).select("doc_id", self.score(self.node, rule, weights).alias("score"))
+        return self.table().where(self.match(self.node)).select("doc_id", self.score(self.node, rule, weights, wrap).alias("score"))
 
     def top(self, k: int, scorer: str | Scorer = "bm25") -> DataFrame:
         return self.scored(scorer).orderBy(F.desc("score"), "doc_id").limit(k)
