@@ -12,7 +12,12 @@ SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), SPLIT), "")
+
+
+def held(value: Column) -> Column:
+    """A value that is computed once for each row: filters on it aren't pushed below, where they would compute it again for each use."""
+    return F.explode(F.array(value))
 
 
 Tokenize = Callable[[Column], Column]

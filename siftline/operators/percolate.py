@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from siftline.functions.text import tokens
+from siftline.functions.text import held, tokens
 from siftline.plans.nodes import FALSE, TRUE, And, AndNot, AtLeast, Const, Maybe, Node, Not, Or, Phrase, Term, parse, settled, simplify
 
 #: Words of a phrase that are hashed together.
@@ -134,7 +134,7 @@ def _met(toks: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _tokenised(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", tokens(F.col("text")).alias("toks")).where("toks is not null")
+    return docs.where("text is not null").select("doc_id", held(tokens(F.col("text"))).alias("toks"))
 
 
 def _expressions(toks: DataFrame, stored: Mapping[int, Node]) -> DataFrame:

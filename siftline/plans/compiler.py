@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import tokens
+from siftline.functions.text import held, tokens
 from siftline.plans.nodes import And, AndNot, AtLeast, Const, Leaf, Maybe, Node, Not, Or, Phrase, Term, leaves, simplify, terms_of
 
 #: Terms of a query up to which documents are read by their rows; beyond, their tokens are posted and aggregated.
@@ -118,7 +118,7 @@ class Plan:
             found = rows.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("at", "term")).where(F.col("term").isin(plan.terms))
             plan.postings = found.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("freq"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
             plan.total = None
-        plan.rows = rows.withColumn("toks", tokenize(F.col("text")))
+        plan.rows, plan.tokenize = rows, tokenize
         return plan
 
     def _alone(self, node: Node) -> bool:
@@ -165,6 +165,7 @@ class Plan:
         if not every and not self._alone(self.node):
             hint = _hints(self.node, F.lower("text")) if self.plain else None
             rows = rows.where(hint) if hint is not None else rows
+        rows = rows.select("doc_id", held(self.tokenize(F.col("text"))).alias("toks"))
         toks = F.col("toks")
         cols = []
         for t, k in self.at.items():
@@ -251,7 +252,7 @@ class Plan:
             return own | {"n": F.lit(self.total)}
         if self.postings is None:
             return own | {"n": one.select("n").scalar()}
-        count = self.rows.where(F.size("toks") > 0).agg(F.count("*").alias("n")) if self.rows is not None else self.postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
+        count = self.rows.where(F.size(self.tokenize(F.col("text"))) > 0).agg(F.count("*").alias("n")) if self.rows is not None else self.postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
         return own | {"n": count.scalar()}
 
     def scored(self, scorer: str | Scorer = "bm25", wrap: Wrap | None = None) -> DataFrame:

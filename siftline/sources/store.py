@@ -96,13 +96,16 @@ class Store:
             df.unpersist()
         self._kept = {}
 
+    def _live(self, name: str, gens: list[int]) -> DataFrame:
+        """What no newer generation hides; the oldest one's own updates hide nothing, so a single generation is joined to none."""
+        found = self._read(name, gens)
+        return found if len(gens) < 2 else live(found, self._read("updates", gens[1:]))
+
     def postings(self) -> DataFrame:
-        gens = self.generations()
-        return live(self._read("postings", gens), self._read("updates", gens))
+        return self._live("postings", self.generations())
 
     def documents(self) -> DataFrame:
-        gens = self.generations()
-        return live(self._read("documents", gens), self._read("updates", gens))
+        return self._live("documents", self.generations())
 
     def updates(self) -> DataFrame:
         return self._read("updates")
@@ -125,8 +128,7 @@ class Store:
         """A query on the live postings, with the generations' statistics."""
         gens = self.generations()
         node = parse(query) if isinstance(query, str) else query
-        found = live(self._read("postings", gens), self._read("updates", gens))
-        return Plan(node, found, self.documents(), named, stats=(self._read("terms", gens), self.stats()))
+        return Plan(node, self._live("postings", gens), self._live("documents", gens), named, stats=(self._read("terms", gens), self.stats()))
 
     def compact(self, gen: int, into: str) -> Store:
         """All generations as one in a new store at ``into``."""
