@@ -64,6 +64,16 @@ def _places(toks: Column, term: str) -> Column:
     return F.filter(F.transform(toks, lambda x, i: F.when(x == term, i + 1)), lambda x: x.isNotNull())
 
 
+def _overlapping(terms: tuple[str, ...]) -> bool:
+    """Whether a phrase can begin again before it has ended."""
+    return any(terms[k:] == terms[: len(terms) - k] for k in range(1, len(terms)))
+
+
+def _written(terms: tuple[str, ...]) -> str:
+    """A phrase as it stands in a line of tokens, each with a blank of its own on either side."""
+    return " " + "  ".join(terms) + " "
+
+
 def _hints(node: Node, text: Column) -> Column | None:
     """A cheap condition that a matching text surely meets: it holds the words as they are written. None for no such."""
     if isinstance(node, Term):
@@ -138,10 +148,13 @@ class Plan:
             return sum(map(self._alone, node.parts)) >= node.least
         return self._alone(node.part) if isinstance(node, Maybe) else isinstance(node, Leaf)
 
-    def table(self, every: bool = False) -> DataFrame:
-        """A row for each document that may match (``every``: for each that has a term), with ``f<k>`` and ``p<k>`` of each term."""
+    def table(self, every: bool = False, counts: bool = True, places: bool = False) -> DataFrame:
+        """A row for each document that may match (``every``: for each that has a term), with ``f<k>`` of each term, null where it isn't there.
+
+        Where they are needed (``places``: always) there are ``p<k>``, its positions.  Without ``counts``, ``f<k>`` only says that the term is there.
+        """
         if self.rows is not None and self.postings is None:
-            found = self._from_rows(every)
+            found = self._from_rows(every, counts, places)
         else:
             aggs = []
             for t, k in self.at.items():
@@ -160,7 +173,7 @@ class Plan:
             found = found.join(self.named[name].select("doc_id").distinct().withColumn(f"leaf_{name}", F.lit(True)), "doc_id", "left")
         return found
 
-    def _from_rows(self, every: bool) -> DataFrame:
+    def _from_rows(self, every: bool, counts: bool, places: bool) -> DataFrame:
         rows = self.rows
         if not every and not self._alone(self.node):
             hint = _hints(self.node, F.lower("text")) if self.plain else None
@@ -168,10 +181,15 @@ class Plan:
         rows = rows.select("doc_id", held(self.tokenize(F.col("text"))).alias("toks"))
         toks = F.col("toks")
         cols = []
+        phrases = [n for n in leaves(self.node) if isinstance(n, Phrase)]
+        if phrases and self.plain:  # other tokenizers' terms may hold blanks
+            rows = rows.select("doc_id", "toks", held(F.concat(F.lit(" "), F.concat_ws("  ", toks), F.lit(" "))).alias("line"))
+            cols.append(F.col("line"))
+        placed = set(self.terms) if places else {t for n in phrases if not self.plain or (counts and _overlapping(n.terms)) for t in n.terms}
         for t, k in self.at.items():
-            freq = F.size(toks) - F.size(F.array_remove(toks, t))
-            cols.append(F.when(freq > 0, freq).alias(f"f{k}"))
-            if t in self.phrased:
+            freq = F.size(toks) - F.size(F.array_remove(toks, t)) if counts else F.lit(1)
+            cols.append(F.when(F.array_contains(toks, t), freq).alias(f"f{k}"))
+            if t in placed:
                 cols.append(F.when(F.array_contains(toks, t), _places(toks, t)).alias(f"p{k}"))
         if every:
             rows = rows.where(F.size(toks) > 0)
@@ -181,6 +199,9 @@ class Plan:
         """Occurrences of a leaf in a document; null or 0 for none."""
         if isinstance(node, Term):
             return F.col(f"f{self.at[node.text]}")
+        if self.postings is None and self.plain and not _overlapping(node.terms):
+            size = F.length("line") - F.length(F.replace(F.col("line"), F.lit(_written(node.terms)), F.lit("")))
+            return (size / len(_written(node.terms))).cast("int")
         first, rest = node.terms[0], node.terms[1:]
 
         def here(x: Column) -> Column:
@@ -195,7 +216,7 @@ class Plan:
         if isinstance(node, Term):
             return F.col(f"f{self.at[node.text]}").isNotNull()
         if isinstance(node, Phrase):
-            return self.count(node) > 0
+            return F.col("line").contains(_written(node.terms)) if self.postings is None and self.plain else self.count(node) > 0
         if isinstance(node, Leaf):
             return F.coalesce(F.col(f"leaf_{node.name}"), F.lit(False))
         if isinstance(node, And):
@@ -233,7 +254,7 @@ class Plan:
         return zero
 
     def ids(self) -> DataFrame:
-        return self.table().where(self.match(self.node)).select("doc_id")
+        return self.table(counts=False).where(self.match(self.node)).select("doc_id")
 
     def _statistics(self, wanted: list[str]) -> dict[str, Column]:
         """The number of documents (``n``) and of those with each wanted term (``df<k>``) as scalar subqueries."""
@@ -244,7 +265,7 @@ class Plan:
             return out | {"n": docs.select("docs_cnt").scalar()}
         dfs = [F.count(F.col(f"f{self.at[t]}")).alias(f"df{self.at[t]}") for t in wanted]
         if self.postings is None:
-            one = self.table(every=True).agg(F.count("*").alias("n"), *dfs)
+            one = self.table(every=True, counts=False).agg(F.count("*").alias("n"), *dfs)
         else:
             one = self.table(every=True).agg(F.lit(1).alias("one"), *dfs) if wanted else None
         own = {f"df{self.at[t]}": one.select(f"df{self.at[t]}").scalar() for t in wanted}
@@ -273,9 +294,7 @@ class Plan:
         """``(doc_id, term, freq, positions)`` of matches, without terms that only exclude."""
         wanted = terms_of(self.node, positive=True)
         if self.postings is None:
-            phrased, self.phrased = self.phrased, set(self.terms)
-            found = self.table().where(self.match(self.node))
-            self.phrased = phrased
+            found = self.table(places=True).where(self.match(self.node))
             each = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"f{self.at[t]}").alias("freq"), F.col(f"p{self.at[t]}").alias("positions")) for t in wanted])
             return found.select("doc_id", F.explode(F.filter(each, lambda x: x["freq"].isNotNull())).alias("m")).select("doc_id", "m.term", "m.freq", "m.positions")
         return self.postings.where(F.col("term").isin(wanted)).join(self.ids(), "doc_id", "left_semi").select("doc_id", "term", "freq", "positions")
@@ -284,7 +303,7 @@ class Plan:
         """``(doc_id, matched)``: how many of the query's positive leaves a matching document has."""
         own = leaves(self.node, positive=True)
         total = reduce(lambda a, b: a + b, [self.match(n).cast("int") for n in own], F.lit(0))
-        return self.table().where(self.match(self.node)).select("doc_id", total.alias("matched"))
+        return self.table(counts=False).where(self.match(self.node)).select("doc_id", total.alias("matched"))
 
     def explain(self) -> str:
         """The simplified tree, a line for each node, and how its leaves are read."""

@@ -184,6 +184,15 @@ def test_rows_and_postings_score_alike(spark, docs, posted):
     assert 'phrase "of the"' in Plan.over(many, docs).explain() and "live documents" in Plan.over(parse("NOT of"), docs).explain()
 
 
+def test_phrases_of_other_tokenizers(spark):
+    docs = spark.createDataFrame([(1, "New  York,a a,a a,a a"), (2, "york,new"), (3, None), (4, "a a,a a")], "doc_id long, text string")
+    split = lambda text: F.split(text, ",")
+    plan = Plan.over(Phrase(("a a", "a a")), docs, tokenize=split)
+    assert {tuple(x) for x in plan.scored("trivial").collect()} == {(1, 2.0), (4, 1.0)}
+    assert sorted(x.doc_id for x in Plan.over(Or((Phrase(("New  York", "a a")), Not(Term("york")))), docs, tokenize=split).ids().collect()) == [1, 3, 4]
+    assert {tuple(x) for x in Plan.over(Phrase(("a", "a")), docs).scored("trivial").collect()} == {(1, 5.0), (4, 3.0)}
+
+
 def test_plans_are_built_without_jobs(spark, docs, posted, tmp_path):
     store = Store(spark, str(tmp_path / "index"))
     store.commit(1, added=docs)
