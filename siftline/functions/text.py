@@ -16,7 +16,7 @@ def tokens(text: Column) -> Column:
 
 
 def held(value: Column) -> Column:
-    """A value that is computed once for each row: filters on it aren't pushed below, where they would compute it again for each use."""
+    """A value that is computed once for each row: filters on it (those too that an explode of it implies) aren't pushed below, where they would compute it again."""
     return F.explode(F.array(value))
 
 
@@ -30,7 +30,8 @@ def hits(docs: DataFrame, terms: Iterable[str] | None = None, id_col: str = "doc
     of ``array<string>``; terms it leaves null take a position and are no hits.
     ``payload`` makes bytes from a hit's term and position.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokenize(F.col(text_col))).alias("at", "term")).where("term is not null")
+    toks = docs.select(F.col(id_col).alias("doc_id"), held(tokenize(F.col(text_col))).alias("toks"))
+    found = toks.select("doc_id", F.posexplode("toks").alias("at", "term")).where("term is not null")
     if terms is not None:
         found = found.where(F.col("term").isin(sorted(terms)))
     out = found.select("doc_id", "term", (F.col("at") + 1).alias("pos"))

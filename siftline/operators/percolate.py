@@ -9,7 +9,7 @@ tokens.  Optional parts count as ``settled`` says.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from itertools import combinations
 
@@ -109,6 +109,22 @@ def _hash(words: list[Column]) -> Column:
     return F.xxhash64(F.lit(len(words)), *words)
 
 
+def _bitmap(hashes: list[int]) -> Callable[[Column], Column]:
+    """Whether a hash may be one of ``hashes``: a bit for each value of its last bits, sixteen times as many as hashes."""
+    bits = 1 << max(12, (16 * len(hashes) - 1).bit_length())
+    words = [0] * (bits // 64)
+    for h in hashes:
+        words[(h & (bits - 1)) >> 6] |= 1 << (h & 63)
+    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
+    table = F.split(F.lit(signed), ",").cast("array<long>")  # a constant of the plan
+
+    def known(h: Column) -> Column:
+        word = F.get(table, F.call_function("shiftright", h.bitwiseAND(F.lit(bits - 1)), F.lit(6)).cast("int"))
+        return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return known
+
+
 def _met(toks: DataFrame, table: DataFrame) -> DataFrame:
     """``(doc_id, query_id)`` of ``(doc_id, toks)`` and clauses, of which some words must be there."""
     anchor = reduce(lambda c, n: F.when(F.col("n") == n, _hash([F.col("anchor")[k] for k in range(n)])).otherwise(c), range(1, GRAM + 1), F.lit(None).cast("long"))
@@ -117,17 +133,20 @@ def _met(toks: DataFrame, table: DataFrame) -> DataFrame:
 
     def grams(n: int) -> Column:
         if n == 1:
-            return F.transform("toks", lambda t: _hash([t]))
+            return F.transform(F.array_distinct("toks"), lambda t: _hash([t]))
         starts = F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: _hash([F.get("toks", i + k) for k in range(n)]))
 
     if not sizes.rows:
         return toks.select("doc_id", F.lit(0).cast("long").alias("query_id")).limit(0)
-    each = F.explode(F.array_distinct(F.concat(*[grams(n) for n in sorted(sizes.lengths)]))).alias("gram")
+    every = F.concat(*[grams(n) for n in sorted(sizes.lengths)])  # longer ones seldom repeat
     if sizes.rows <= BROADCAST:
-        met = toks.select("doc_id", "toks", each).join(F.broadcast(table), "gram")
+        # tokens go along with each gram, so that only those that may be some clause's are let through
+        known = _bitmap([r.gram for r in table.select("gram").distinct().collect()])
+        own = toks.select("doc_id", "toks", held(F.array_distinct(F.filter(every, known))).alias("grams"))
+        met = own.select("doc_id", "toks", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     else:
-        met = toks.select("doc_id", each).join(table, "gram").drop("gram").join(toks, "doc_id")
+        met = toks.select("doc_id", held(every).alias("grams")).select("doc_id", F.explode("grams").alias("gram")).join(table, "gram").drop("gram").join(toks, "doc_id")
     line = _line(F.col("toks"))
     right = (F.size(F.array_except("pos", "toks")) == 0) & ~F.arrays_overlap("no", "toks") & F.forall("lines", lambda p: line.contains(p)) & ~F.exists("no_lines", lambda p: line.contains(p))
     return met.where(right).select("doc_id", "query_id").distinct()
@@ -139,7 +158,7 @@ def _tokenised(docs: DataFrame) -> DataFrame:
 
 def _expressions(toks: DataFrame, stored: Mapping[int, Node]) -> DataFrame:
     ids = [F.when(_holds(simplify(settled(n)), F.col("toks")), F.lit(q).cast("long")) for q, n in stored.items()]
-    return toks.select("doc_id", F.explode(F.array_compact(F.array(*ids))).alias("query_id"))
+    return toks.select("doc_id", held(F.array_compact(F.array(*ids))).alias("ids")).select("doc_id", F.explode("ids").alias("query_id"))
 
 
 def percolate(docs: DataFrame, stored: Mapping[int, Node]) -> DataFrame:

@@ -344,7 +344,7 @@ def docid_translate(spark, sf):
 
 def shared(spark: SparkSession) -> str:
     """A folder of its own under the session's checkpoint folder; a temporary one only within this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):

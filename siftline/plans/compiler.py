@@ -125,7 +125,8 @@ class Plan:
         plan = cls(node, None, rows, named)
         plan.plain = tokenize is tokens  # then a term is written in the lower-cased text
         if len(plan.terms) > IN_ROW:
-            found = rows.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("at", "term")).where(F.col("term").isin(plan.terms))
+            toks = rows.select("doc_id", held(tokenize(F.col("text"))).alias("toks"))
+            found = toks.select("doc_id", F.posexplode("toks").alias("at", "term")).where(F.col("term").isin(plan.terms))
             plan.postings = found.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("freq"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
             plan.total = None
         plan.rows, plan.tokenize = rows, tokenize
