@@ -51,11 +51,15 @@ def number(payload: Column) -> Column:
     return F.when(F.length(payload) <= 8, F.conv(turned, 16, 10).cast("long"))
 
 
+def special_terms() -> Column:
+    """A document's ``lang:x`` and ``src:y``; null for one that it hasn't."""
+    return F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("src:"), "source"))
+
+
 def specials(docs: DataFrame, payload: Column | None = None) -> DataFrame:
     """``lang:x`` and ``src:y`` tokens, which have position 0 and may have a payload."""
-    pairs = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("src:"), "source"))
     own = [] if payload is None else [payload.cast("binary").alias("payload")]
-    return docs.select("doc_id", F.explode(pairs).alias("term"), F.lit(0).alias("pos"), *own).where("term is not null")
+    return docs.select("doc_id", F.explode(special_terms()).alias("term"), F.lit(0).alias("pos"), *own).where("term is not null")
 
 
 def postings(found: DataFrame, positions: bool = True) -> DataFrame:

@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def live(postings: DataFrame, updates: DataFrame) -> DataFrame:
-    """Postings of ``(gen, ...)`` that no strictly newer generation replaced or erased."""
+#: Ids up to which they are broadcast (some fifty bytes each), so that what they are held against isn't shuffled; more are joined by shuffle.
+FEW = 1_000_000
+
+
+def live(postings: DataFrame, updates: DataFrame, few: bool = False) -> DataFrame:
+    """Postings of ``(gen, ...)`` that no strictly newer generation replaced or erased; ``few`` says that at most ``FEW`` ids are."""
     newest = updates.groupBy("doc_id").agg(F.max("gen").alias("ug"))
+    newest = F.broadcast(newest) if few else newest
     return postings.join(newest, "doc_id", "left").where("ug is null or gen >= ug").drop("ug")
 
 
-def merged(postings: DataFrame, updates: DataFrame, gen: int, unique: bool = False) -> DataFrame:
+def merged(postings: DataFrame, updates: DataFrame, gen: int, unique: bool = False, few: bool = False) -> DataFrame:
     """Live postings as one generation; of a (term, document) in several the newest wins.
 
     With ``unique`` the caller vouches that each document is live in one
-    generation only (as in a ``Store``, which replaces), and nothing is shuffled.
+    generation only (as in a ``Store``, which replaces), and nothing is shuffled
+    where also few ids are hidden (``few``).
     """
-    kept = live(postings, updates)
+    kept = live(postings, updates, few)
     if not unique:
         rest = [c for c in kept.columns if c not in ("term", "doc_id", "gen")]
         kept = kept.groupBy("term", "doc_id").agg(F.max_by(F.struct(*rest), "gen").alias("row")).select("term", "doc_id", "row.*")

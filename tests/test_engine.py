@@ -346,3 +346,52 @@ def test_registry_without_the_llm_folders():
 
     names = entry.queries()
     assert "topk_bm25" in names and set(entry.oracle_sql()) <= set(names)
+
+
+ODD = [(1, "a b a"), (2, None), (3, ""), (4, "... --"), (-5, "Éa b é z"), (6, "b " * 300 + "a"), (None, "a q")]
+
+
+@pytest.mark.parametrize("at_once, file", [(1 << 20, 1_000_000), (4, 20)])
+def test_index_of_rows_is_that_of_hits(spark, tmp_path, monkeypatch, at_once, file):
+    from siftline.functions import rows
+
+    monkeypatch.setattr(rows, "FILE", file)
+    monkeypatch.setattr(rows, "GUESS_OF", 1)
+    docs = spark.createDataFrame([*ODD, *((k, f"a w{k} b") for k in range(20, 50))], "doc_id long, text string")
+    want = sorted(map(str, postings(hits(docs)).select("term", "doc_id", "freq", "positions").collect()))
+    starts = rows.bounds(docs, docs.count())
+    assert (len(starts) > 2) == (file == 20)
+    monkeypatch.setattr(rows, "AT_ONCE", at_once)
+    parts = [list(b) for b in rows.postings(docs, starts).rdd.mapPartitions(lambda x: [list(x)]).collect()]
+    got = [r for p in parts for r in p]
+    assert sorted(map(str, got)) == want
+    last = [(r.term.encode(), float("inf") if r.doc_id is None else r.doc_id) for p in parts for r in p]
+    for p in parts:
+        own = [(r.term.encode(), float("inf") if r.doc_id is None else r.doc_id) for r in p]
+        assert own == sorted(own) and (file == 20 or own == last)
+    if file == 20:
+        store = Store(spark, str(tmp_path / "index"))
+        store.commit(1, added=docs)
+        assert tuple(store.stats().first()) == tuple(field_stats(postings(hits(docs))).first())
+
+
+def test_an_index_is_built_without_shuffling_hits(spark, docs):
+    from siftline.functions import rows
+
+    plan = rows.postings(docs, []).selectExpr("term")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Sort " not in plan
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_hidden_ids_are_broadcast_while_few(spark, docs, tmp_path, monkeypatch, few):
+    from siftline.sources import store as S
+
+    monkeypatch.setattr(S, "FEW", few)
+    store = Store(spark, str(tmp_path / "index"))
+    store.commit(1, added=docs)
+    store.commit(2, replaced=spark.createDataFrame([(4, "pizza york")], "doc_id long, text string"), erased=spark.createDataFrame([(7,), (7,)], "doc_id long"))
+    assert ("ResolvedHint (strategy=broadcast)" in store.postings()._jdf.queryExecution().analyzed().toString()) == (few > 0)
+    assert sorted(x.doc_id for x in store.plan("pizza OR star").ids().collect()) == [3, 4, 5, 6]
+    merged = store.compact(3, str(tmp_path / "merged"))
+    assert sorted(map(str, merged.postings().select("term", "doc_id", "positions").collect())) == sorted(map(str, store.postings().select("term", "doc_id", "positions").collect()))
+    assert merged.stats().first().docs_cnt == 7 == merged.documents().count()
