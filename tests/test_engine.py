@@ -395,3 +395,14 @@ def test_hidden_ids_are_broadcast_while_few(spark, docs, tmp_path, monkeypatch,
     merged = store.compact(3, str(tmp_path / "merged"))
     assert sorted(map(str, merged.postings().select("term", "doc_id", "positions").collect())) == sorted(map(str, store.postings().select("term", "doc_id", "positions").collect()))
     assert merged.stats().first().docs_cnt == 7 == merged.documents().count()
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_batches_with_ids_that_come_again(spark, tmp_path, monkeypatch, few):
+    from siftline.streaming import percolator
+
+    monkeypatch.setattr(percolator, "FEW", few)
+    store, schema = Store(spark, str(tmp_path / "index")), "doc_id long, text string, at long"
+    spark.createDataFrame([(1, "new", 2), (1, "old", 1), (2, "war", 1), (None, "x", 1), (None, "y", 0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    percolator.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "state"), order="at").awaitTermination()
+    assert {(x.term, x.doc_id) for x in store.postings().collect()} == {("new", 1), ("war", 2), ("x", None)}
