@@ -397,6 +397,19 @@ def test_hidden_ids_are_broadcast_while_few(spark, docs, tmp_path, monkeypatch,
     assert merged.stats().first().docs_cnt == 7 == merged.documents().count()
 
 
+def test_doc_stats_of_rows_are_those_of_hits(spark, monkeypatch):
+    from siftline.functions import rows
+    from siftline.functions.text import doc_stats, special_terms
+
+    docs = spark.createDataFrame([(*r, *x) for r, x in zip(ODD[:6], [("en", "s"), ("en", None), (None, None), ("fr", "s"), (None, "s"), ("en", "t")])], "doc_id long, text string, lang string, source string")
+    want = doc_stats(hits(docs).unionByName(specials(docs)))
+    for at_once in (1 << 20, 3):
+        monkeypatch.setattr(rows, "AT_ONCE", at_once)
+        got = rows.doc_stats(docs, special_terms())
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_batches_with_ids_that_come_again(spark, tmp_path, monkeypatch, few):
     from siftline.streaming import percolator
