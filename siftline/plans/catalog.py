@@ -357,79 +357,6 @@ def shared(spark: SparkSession) -> str:
 _STORES: dict[tuple[str, str, str], Store] = {}
 
 
-def stored(spark: SparkSession, sf: str, kind: str = "one") -> Store:
-    """An index of the documents, built once a session: of ``one`` generation, of the ``three`` of ``gens``, or these ``compacted``."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _STORES:
-        if kind == "compacted":
-            _STORES[key] = stored(spark, sf, "three").compact(4, shared(spark))
-            return _STORES[key]
-        store, d, labels = Store(spark, shared(spark)), docs(spark, sf), read(spark, sf, "labels")
-        store.commit(1, added=d)
-        if kind == "three":
-            revised = d.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("revised "), "text"))
-    part = lambda x, g: T.postings(T.hits(x), False).withColumn("gen", F.lit(g).cast("long"))
-    updates = revised.select("doc_id", F.lit(2).cast("long").alias("gen")).unionByName(labels.where("toxic = 1").select("doc_id", F.lit(3).cast("long").alias("gen")))
-    return part(d, 1).unionByName(part(revised, 2)), updates
-
-
-@add("multi_gen_live", f"{_GENS} SELECT term, doc_id, freq, gen FROM live")
-def multi_gen_live(spark, sf):
-    return G.live(*gens(spark, sf)).select("term", "doc_id", "freq", "gen")
-
-
-@add("merge_segments", f"{_GENS} SELECT term, doc_id, freq, CAST(4 AS BIGINT) AS gen FROM live")
-def merge_segments(spark, sf):
-    return G.merged(*gens(spark, sf), gen=4).select("term", "doc_id", "freq", "gen")
-
-
-@add("erase_docs", f"WITH {H} {has('the')} EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
-def erase_docs(spark, sf):
-    p = T.postings(T.hits(docs(spark, sf), ["the"]), False).withColumn("gen", F.lit(1))
-    return G.live(p, read(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit(2).alias("gen"))).select("doc_id")
-
-
-@add("replace_docs", f"{_GENS} SELECT doc_id FROM live WHERE term = 'revised'")
-def replace_docs(spark, sf):
-    return G.live(*gens(spark, sf)).where("term = 'revised'").select("doc_id")
-
-
-@add("mask_only_source", f"WITH {H} SELECT DISTINCT doc_id FROM h WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
-def mask_only_source(spark, sf):
-    p = docs(spark, sf).where(F.size(T.tokens(F.col("text"))) > 0).select("doc_id", F.lit(1).alias("gen"))
-    return G.live(p, read(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(2).alias("gen"))).select("doc_id").distinct()
-
-
-@add("retention", "SELECT * FROM (VALUES (1, 'delete'), (2, 'retain_all'), (3, 'retain_updates'), (4, 'retain_updates'), (5, 'retain_all')) v(gen, decision)")
-def retention(spark, sf):
-    return G.retention(spark.createDataFrame([(1, True), (2, False), (3, True), (4, True), (5, False)], "gen int, candidate boolean"))
-
-
-@add("dup_guard", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id HAVING count(*) > 1")
-def dup_guard(spark, sf):
-    return G.duplicates(docs(spark, sf).select("doc_id").unionByName(read(spark, sf, "labels").where("quality = 0").select("doc_id")))
-
-
-@add("docid_translate", f"WITH {PQ} SELECT term, doc_id + 1000000 AS doc_id, freq FROM p WHERE term = 'the'")
-def docid_translate(spark, sf):
-    d = docs(spark, sf)
-    return G.translated(T.postings(T.hits(d, ["the"]), False), d.select(F.col("doc_id").alias("local_id"), (F.col("doc_id") + 1000000).alias("global_id")).distinct())
-
-
-def shared(spark: SparkSession) -> str:
-    """A folder of its own under the session's checkpoint folder; a temporary one only within this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="siftline-")
-    return f"{root}/siftline-{uuid.uuid4().hex}"
-
-
-_STORES: dict[tuple[str, str, str], Store] = {}
-
-
 def stored(spark: SparkSession, sf: str, kind: str = "one") -> Store:
     """An index of the documents, built once a session: of ``one`` generation, of the ``three`` of ``gens``, or these ``compacted``."""
     key = (spark.sparkContext.applicationId, sf, kind)
